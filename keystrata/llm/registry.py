@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, urls
+from . import exact_dedup, sharding, token_files, urls
 
 QUERIES = {
+    "op3_token_files": token_files.op3_token_files,
     "op2_sharding": sharding.op2_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op8_url_filter": urls.op8_url_filter,
