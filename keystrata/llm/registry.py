@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, token_files, urls
+from . import decontaminate, exact_dedup, mixing, sharding, token_files, urls
 
 QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op2_sharding": sharding.op2_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_mixing": mixing.op6_mixing,
     "op8_url_filter": urls.op8_url_filter,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
