@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, sharding, token_files, urls
+from . import decontaminate, exact_dedup, mixing, pii, sharding, token_files, urls
 
 QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op2_sharding": sharding.op2_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_pii": pii.op5_pii,
     "op6_mixing": mixing.op6_mixing,
     "op8_url_filter": urls.op8_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
