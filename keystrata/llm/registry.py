@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, pii, sharding, token_files, urls
+from . import decontaminate, exact_dedup, mixing, pii, sharding, simhash, token_files, urls
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op3_token_files": token_files.op3_token_files,
     "op2_sharding": sharding.op2_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
