@@ -1,0 +1,276 @@
+"""Language identification by a bidirectional gated recurrent network over bytes.
+
+Both directions read the bytes of a text, and every byte gets a distribution
+over the languages from the two states at it; a document's probabilities are the
+mean over its letters' bytes. State starts anew at white space (and within runs
+of over ``PIECE`` bytes), so the distributions of a word don't depend on its
+neighbours and are kept in a bounded memo; every word of every text counts.
+
+The network is trained here, in numpy, by backpropagation through time (Adam on
+the cross entropy of every byte's label). Its sample is bounded: ``SAMPLE_DOCS``
+documents in all, the same number per language and chosen by a hash of the id,
+each of at most ``SAMPLE_CHARS`` characters, and ``SAMPLE_WORDS`` words per
+language drawn from them. Documents that are held out, crc32(id) mod 4 = 2, and
+those without a label are never in it.
+
+Defined results
+    null text or no letter: ``und`` with score 0. Nothing to learn from (empty
+    table, no labels): ``und`` for all. null id: not held out. Repeated rows:
+    each gives a row. Extra columns: not read; ``identify`` returns them
+    unharmed in the struct ``own``.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import scratch
+
+SAMPLE_DOCS = 1600
+SAMPLE_CHARS = 20_000
+SAMPLE_WORDS = 6000
+PIECE = 32
+EMBED, HIDDEN = 8, 12
+EPOCHS, BATCH, STEP = 8, 256, 0.01
+MEMO_WORDS = 400_000
+CHUNK_CHARS = 2_000_000
+_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of letters: ASCII letters and all bytes of longer UTF-8 sequences.
+_LETTER_BYTE = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)], np.float32)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+class ByteGRU:
+    """Parameters of the two directions and of the label layer."""
+
+    NAMES = ("embed", "wf", "uf", "bf", "wb", "ub", "bb", "out", "bias")
+
+    def __init__(self, langs: list[str], p: dict[str, np.ndarray]):
+        self.langs, self.p = langs, p
+        self.key = hashlib.sha256(b"".join(p[n].tobytes() for n in self.NAMES)).hexdigest()
+
+    @classmethod
+    def fresh(cls, langs: list[str], seed: int = 0) -> "ByteGRU":
+        r, h, d = np.random.default_rng(seed), HIDDEN, EMBED
+        make = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
+        return cls(langs, {"embed": make(256, d) * 8, "wf": make(d, 3 * h), "uf": make(h, 3 * h), "bf": np.zeros(3 * h, np.float32), "wb": make(d, 3 * h), "ub": make(h, 3 * h), "bb": np.zeros(3 * h, np.float32), "out": make(2 * h, len(langs)), "bias": np.zeros(len(langs), np.float32)})
+
+    def run(self, x: np.ndarray, way: str, trace: list | None = None) -> np.ndarray:
+        """States at every position of equally long byte rows; (time, rows, hidden)."""
+        h, n = HIDDEN, x.shape[1]
+        table, u = self.p["embed"] @ self.p["w" + way] + self.p["b" + way], self.p["u" + way]
+        state, out = np.zeros((len(x), h), np.float32), np.empty((n, len(x), h), np.float32)
+        for t in range(n) if way == "f" else range(n - 1, -1, -1):
+            a, b = table[x[:, t]], state @ u
+            gates = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
+            z, r = gates[:, :h], gates[:, h:]
+            new = np.tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
+            if trace is not None:
+                trace.append((t, state, z, r, new, b[:, 2 * h :]))
+            state = new + z * (state - new)
+            out[t] = state
+        return out
+
+    def labels(self, x: np.ndarray) -> np.ndarray:
+        """Distributions at every position; (time, rows, languages)."""
+        logits = np.concatenate([self.run(x, "f"), self.run(x, "b")], axis=2) @ self.p["out"] + self.p["bias"]
+        e = np.exp(logits - logits.max(axis=2, keepdims=True))
+        return e / e.sum(axis=2, keepdims=True)
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy of all positions' labels, and its gradient by
+        backpropagation through time."""
+        h, p, traces = HIDDEN, self.p, {"f": [], "b": []}
+        states = np.concatenate([self.run(x, w, traces[w]) for w in "fb"], axis=2)
+        logits = states @ p["out"] + p["bias"]
+        e = np.exp(logits - logits.max(axis=2, keepdims=True))
+        prob = e / e.sum(axis=2, keepdims=True)
+        n, rows = x.shape[1], np.arange(len(x))
+        loss = -np.log(prob[:, rows, y] + 1e-9).mean()
+        prob[:, rows, y] -= 1
+        prob /= n * len(x)
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        g["out"] = np.einsum("tbh,tbl->hl", states, prob)
+        g["bias"] = prob.sum(axis=(0, 1))
+        back = prob @ p["out"].T
+        for k, way in enumerate("fb"):
+            into = np.zeros((256, 3 * h), np.float32)
+            carry = np.zeros((len(x), h), np.float32)
+            for t, before, z, r, new, bn in reversed(traces[way]):
+                d = back[t, :, k * h : (k + 1) * h] + carry
+                dn = d * (1 - z) * (1 - new**2)
+                dz = d * (before - new) * z * (1 - z)
+                dr = dn * bn * r * (1 - r)
+                da = np.concatenate([dz, dr, dn], axis=1)
+                db = np.concatenate([dz, dr, dn * r], axis=1)
+                g["u" + way] += before.T @ db
+                carry = d * z + db @ p["u" + way].T
+                np.add.at(into, x[:, t], da)
+            g["b" + way] += into.sum(axis=0)
+            g["w" + way] += p["embed"].T @ into
+            g["embed"] += into @ p["w" + way].T
+        return float(loss), g
+
+
+def train_network(words: list[tuple[str, str]], seed: int = 0) -> ByteGRU:
+    """Fits to (word, language) pairs, in batches of equally long words."""
+    langs = sorted({lang for _, lang in words})
+    net, r = ByteGRU.fresh(langs, seed), np.random.default_rng(seed)
+    by_length: dict[int, list[tuple[bytes, int]]] = {}
+    for word, lang in words:
+        for piece in pieces(word):
+            by_length.setdefault(len(piece), []).append((piece, langs.index(lang)))
+    data = {n: (np.frombuffer(b"".join(w for w, _ in v), np.uint8).reshape(-1, n), np.array([y for _, y in v])) for n, v in by_length.items()}
+    m, v, k = {n: np.zeros_like(x) for n, x in net.p.items()}, {n: np.zeros_like(x) for n, x in net.p.items()}, 0
+    for epoch in range(EPOCHS):
+        batches = []
+        for n, (x, _) in data.items():
+            order = r.permutation(len(x))
+            batches += [(n, order[i : i + BATCH]) for i in range(0, len(x), BATCH)]
+        for b in r.permutation(len(batches)):
+            n, rows = batches[b]
+            _, g = net.gradient(data[n][0][rows], data[n][1][rows])
+            k += 1
+            rate = STEP * (1 - epoch / EPOCHS) * min(1.0, len(rows) / 32)
+            for name in net.p:
+                m[name] = 0.9 * m[name] + 0.1 * g[name]
+                v[name] = 0.99 * v[name] + 0.01 * g[name] ** 2
+                net.p[name] -= (rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
+    return ByteGRU(langs, net.p)
+
+
+def pieces(word: str) -> list[bytes]:
+    """A word's bytes between blanks, cut into runs of at most ``PIECE``."""
+    raw = word.encode("utf-8", "replace")
+    return [b" " + raw[i : i + PIECE] + b" " for i in range(0, len(raw), PIECE)]
+
+
+class Memo:
+    """Sums of the distributions over a word's letter bytes, and their number."""
+
+    def __init__(self, net: ByteGRU):
+        self.net = net
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.net.langs) + 1), np.float32)
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.rows) + len(words) > MEMO_WORDS:
+            self.clear()
+        start = len(self.rows)
+        self.rows.update(zip(words, range(start, start + len(words))))
+        if start + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(words)), self.table.shape[1]), np.float32)])
+        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
+        for i, word in enumerate(words, start):
+            for piece in pieces(word):
+                at, raw = by_length.setdefault(len(piece), ([], []))
+                at.append(i)
+                raw.append(piece)
+        for n, (at, raw) in by_length.items():
+            for k in range(0, len(at), 2048):
+                x = np.frombuffer(b"".join(raw[k : k + 2048]), np.uint8).reshape(-1, n)
+                weight = _LETTER_BYTE[x]
+                got = np.einsum("tbl,bt->bl", self.net.labels(x), weight)
+                np.add.at(self.table, at[k : k + 2048], np.concatenate([got, weight.sum(axis=1, keepdims=True)], axis=1))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        words = [t.lower().split() if t and _LETTER.search(t) else [] for t in texts]
+        unknown = set().union(*words).difference(self.rows)
+        if len(unknown) + len(self.rows) > MEMO_WORDS:
+            self.clear()
+            unknown = set().union(*words)
+        self.learn(sorted(unknown))
+        out = []
+        for w in words:
+            if not w:
+                out.append(("und", 0.0))
+                continue
+            total = self.table[list(map(self.rows.__getitem__, w))].sum(axis=0, dtype=np.float64)
+            best = int(total[:-1].argmax())
+            out.append((self.net.langs[best], min(1.0, float(total[best] / total[-1]))) if total[-1] else ("und", 0.0))
+        return out
+
+
+_memos: dict[str, Memo] = {}
+
+
+def memo_of(langs: list[str], p: dict[str, np.ndarray]) -> Memo:
+    """One per Python worker and network."""
+    net = ByteGRU(langs, p)
+    if net.key not in _memos:
+        _memos.clear()
+        _memos[net.key] = Memo(net)
+    return _memos[net.key]
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> ByteGRU | None:
+    """Fits to the bounded sample; None if there is nothing to learn from."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    usable = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("id").isNotNull())
+    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_DOCS // 8).collect()
+    if not langs:
+        return None
+    each = min(1000, max(8, SAMPLE_DOCS // len(langs)))
+    # The rank is limited in each partition before anything is shuffled.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    picked = usable.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    ids = [r[0] for r in picked.where(F.col("lang").isin([r.lang for r in langs])).select("id").collect()]
+    sample = usable.where(F.col("id").isin(ids) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text").sort("lang", "id").limit(len(ids)).collect()
+    r, words = np.random.default_rng(seed), []
+    for lang in sorted({x.lang for x in sample}):
+        own = [w for x in sample if x.lang == lang for w in x.text.lower().split() if _LETTER.search(w)]
+        words += [(own[i], lang) for i in r.permutation(len(own))[:SAMPLE_WORDS]]
+    return train_network(words, seed) if words else None
+
+
+def identify(docs: DataFrame, net: ByteGRU | None, text_col: str = "text") -> DataFrame:
+    """own (a struct of all the row's columns), lang_pred and score."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    rows = docs.select(own, F.col(text_col).cast("string").alias("text"))
+    if net is None:
+        return rows.select("own", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    scratch.ship(docs.sparkSession)
+    langs, p = net.langs, net.p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = memo_of(langs, p)
+        for batch in batches:
+            size = pa.compute.utf8_length(batch.column(1)).fill_null(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // CHUNK_CHARS)) + 1), batch.num_rows]
+            found = []
+            for a, b in zip(cuts, cuts[1:]):
+                found += memo.predict(batch.column(1).slice(a, b - a).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["own", "lang_pred", "score"])
+
+    kind = rows.schema["own"].dataType.simpleString()
+    return rows.mapInArrow(run, f"own {kind}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, net: ByteGRU | None, least: float = 0.0, **cols: str) -> DataFrame:
+    """The documents that have a language, with all their columns."""
+    found = identify(docs, net, **cols)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("own.*")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), train(docs))
+    return found.select(F.col("own.doc_id").alias("doc_id"), held_out(F.col("own.doc_id")).alias("held_out"), "lang_pred", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, pii, sharding, simhash, token_files, urls
+from . import decontaminate, exact_dedup, langid, mixing, pii, sharding, simhash, token_files, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_mixing": mixing.op6_mixing,
     "op8_url_filter": urls.op8_url_filter,
+    "op9_language_id": langid.op9_language_id,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
