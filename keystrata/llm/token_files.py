@@ -35,6 +35,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 END_ID = 0
 LEVEL_SIZE = 2.0
 _SPLIT = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
@@ -81,18 +82,23 @@ class Encoder:
         encoder = self
 
         class Memo(dict):
-            """Ids of a piece, by the piece without its leading ``lead``."""
+            """Ids of a piece, by the piece without its leading ``lead``. A full
+            memo becomes the old generation; pieces still in use come back."""
 
             def __init__(self, lead: str):
-                self.lead = lead
+                self.lead, self.old = lead, {}
 
             def __missing__(self, piece: str) -> bytes:
+                ids = self.old.get(piece)
+                if ids is None:
+                    ids = encoder.piece(self, piece)
                 if len(self) >= MEMO_ENTRIES:
+                    self.old = dict(self)
                     self.clear()
-                self[piece] = ids = encoder.piece(self.lead, piece)
+                self[piece] = ids
                 return ids
 
-        self.first, self.later = Memo(""), Memo(" ")
+        self.first, self.later, self.behind = Memo(""), Memo(" "), {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -101,10 +107,21 @@ class Encoder:
         """Ids of one pre-token, straight from the library's model."""
         return [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
 
-    def piece(self, lead: str, piece: str) -> bytes:
+    def piece(self, memo: dict[str, bytes], piece: str) -> bytes:
         if self.cuts and (m := _PLAIN.match(piece)):
-            return self.pack(self.word(lead + m[1])) + (self.first[m[2]] if m[2] else b"")
-        return self.pack(self.tokenizer.encode(lead + piece, add_special_tokens=False).ids)
+            if m[2]:
+                return memo[m[1]] + self.marks(m[2])
+            return self.pack(self.word(memo.lead + piece))
+        return self.pack(self.tokenizer.encode(memo.lead + piece, add_special_tokens=False).ids)
+
+    def marks(self, marks: str) -> bytes:
+        """Ids of punctuation behind a word, which is a pre-token of its own."""
+        ids = self.behind.get(marks)
+        if ids is None:
+            ids = self.pack(self.word(marks))
+            if len(marks) <= 4:
+                self.behind[marks] = ids
+        return ids
 
     def text(self, text: str | None) -> bytes:
         if not text:
@@ -115,6 +132,12 @@ class Encoder:
         return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per Python worker: its memo serves all tasks of the worker."""
+    return Encoder(path)
+
+
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) of the keys, by seed."""
     with np.errstate(over="ignore"):
@@ -237,8 +260,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, n_shards: in
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 if out is None:
-                    encoder = Encoder(tokenizer_path)
-                    width, end = encoder.dtype.itemsize, encoder.pack([END_ID])
+                    own = encoder(tokenizer_path)
+                    width, end = own.dtype.itemsize, own.pack([END_ID])
                     fs, base = _open(f"{folder}/{name}")
                     fs.create_dir(base.rpartition("/")[0], recursive=True)
                     temporary = f"{base}.{uuid.uuid4().hex}"
@@ -246,7 +269,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, n_shards: in
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     keys.append(key)
                     starts.append(n_ids)
-                    ids = encoder.text(text)
+                    ids = own.text(text)
                     out.write(ids + end)
                     n_ids += len(ids) // width + 1
         if out is None:
