@@ -1,6 +1,240 @@
-"""Named queries over the driver's tables, with their SQL."""
+"""Named queries over the driver's tables, with their SQL.
+
+``events`` serves as an op log (user_id is the key, event_type the command),
+``orders`` as a table of live documents, ``customer`` as a batch of commands,
+``conversations`` as sessions of command lines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keys, protocol
+from ..operators import commands, sessions
+from ..sources.shared import file_system, shared_path
+from ..sources.store import Store
+from . import replay
+
+#: A key with more commands than this is replayed in spans.
+HOT_OPS = 1_000_000
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_ops(events: DataFrame) -> DataFrame:
+    """``events`` as an op log."""
+    kind = F.col("event_type")
+    op = F.when(kind == "signup", "save_key").when(kind.isin("click", "purchase"), "update").when(kind == "error", "delete").when(kind == "view", "lookup")
+    return events.select(keys.of_long(F.col("user_id")).alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.col("props").alias("doc"))
+
+
+def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_ops(_table(spark, sf_dir, "events"))
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third order as a live document of version 1."""
+    orders = _table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    return orders.select(keys.of_long(F.col("o_orderkey")).alias("key"), F.lit(1).cast("long").alias("version"), F.col("o_orderpriority").alias("doc"))
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select(keys.of_long(F.col("c_custkey")).alias("key"), F.col("c_name").alias("doc"))
+
+
+def replay_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replies(_ops(spark, sf_dir), HOT_OPS)
+
+
+def replay_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.current(_ops(spark, sf_dir), hot_ops=HOT_OPS)
+
+
+def replay_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.versions(_ops(spark, sf_dir), HOT_OPS)
+
+
+def replay_upsert_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.current(_ops(spark, sf_dir), policy="upsert")
+
+
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").where(F.col("o_orderkey") == int("1F", 16))
+    return orders.select(keys.of_long(F.col("o_orderkey")).alias("key"), F.col("o_orderpriority").alias("doc"))
+
+
+def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _table(spark, sf_dir, "events").select(keys.of_long(F.col("user_id")).alias("key")).distinct()
+    return commands.lookup(_live(spark, sf_dir), wanted)
+
+
+def insert_only_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.save(_live(spark, sf_dir), _batch(spark, sf_dir))
+
+
+def update_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.update(_live(spark, sf_dir), _batch(spark, sf_dir))
+
+
+def delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.delete(_live(spark, sf_dir), _batch(spark, sf_dir))
+
+
+def ordered_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.dump(replay_current(spark, sf_dir))
+
+
+def compacted_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live documents after the log came in two batches, each compacted."""
+    db = Store(spark, shared_path(spark, "store")).create("events")
+    ops, middle = _ops(spark, sf_dir), _table(spark, sf_dir, "events").agg(F.expr("(min(event_id) + max(event_id)) div 2")).first()[0]
+    db.append(ops.where(F.col("seq") <= middle))
+    db.compact()
+    db.append(ops.where(F.col("seq") > middle))
+    db.compact()
+    return db.current()
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Command lines made of ``conversations``."""
+    key, turn = keys.of_long(F.col("conv_id")), F.col("turn")
+    body = F.when(turn % 4 == 0, F.concat(F.lit("save "), "text")).when(turn % 4 == 1, F.concat(F.lit("save_key "), key, F.lit("  "), "text")).when(turn % 4 == 2, F.concat(F.lit("lookup "), key)).otherwise(F.concat(F.lit("SAVE "), "text"))
+    raw = F.concat(F.repeat(F.lit(" "), (turn % 3).cast("int")), body, F.lit("  \r\n"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("raw"))
+
+
+def parse_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return protocol.parse(_lines(spark, sf_dir)).select("conv_id", "turn", "command", "args", "key", "doc", "valid")
+
+
+def reply_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.summary(replay_replies(spark, sf_dir))
+
+
+def _session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    connect = F.col("turn") % 3 == 0
+    name = F.concat(F.lit("db"), ((F.col("conv_id") + F.col("turn")) % 5).cast("string"))
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.when(connect, "connect").otherwise("lookup").alias("command"), F.when(connect, name).otherwise(keys.of_long(F.col("turn"))).alias("args"))
+
+
+def session_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    databases = spark.createDataFrame([(f"db{i}",) for i in range(4)], "name string")
+    return sessions.selected_database(_session_commands(spark, sf_dir), databases).select("session", "seq", "command", "args", "db", "db_reply")
+
+
+def create_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Databases created by name; part names with blanks are no names."""
+    part = _table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("no name "), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("db_"), F.col("p_size").cast("string")))
+    existing = spark.createDataFrame([("db_1",), ("db_2",)], "name string")
+    return sessions.create_replies(part.select(F.col("p_partkey").alias("seq"), name.alias("name")), existing)
+
+
+def key_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    key = keys.of_long(F.col("o_orderkey"))
+    number = keys.to_number(F.concat(F.lit("00"), F.lower(key)))
+    return orders.select("o_orderkey", key.alias("key"), number.cast("long").alias("number"), keys.from_number(number).alias("round_trip"))
+
+
+def prefix_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.substring("p_name", 1, 3))
+    return _table(spark, sf_dir, "part").select("p_partkey", prefix.alias("prefix"), keys.starts_with(prefix, F.col("p_name")).alias("is_prefix"))
+
+
+def generated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    return docs.select("doc_id", keys.generated(F.col("doc_id")).alias("key"))
+
+
+def key_domain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    text = F.upper(F.expr("substring(md5(cast(doc_id AS string)), 1, cast(1 + doc_id % 32 AS int))"))
+    return docs.select("doc_id", text.alias("text"), keys.canonical(text).alias("canonical"), keys.in_domain(text).alias("valid"))
+
+
+def stream_replay_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live documents by way of the streaming replay."""
+    from ..streaming import replayer
+
+    path = f"{sf_dir}/events.parquet"
+    fs, at = file_system(spark, path)
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    # A stream reads folders: of a single file, its folder by the file's name.
+    events = source.parquet(path) if fs.getFileStatus(at).isDirectory() else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = replayer.run_available(event_ops(events), shared_path(spark, "stream"), shared_path(spark, "stream-checkpoint"))
+    last = out.where("reply <> 'late'").groupBy("key").agg(F.max_by(F.struct("present_after", "version", "doc"), "seq").alias("last"))
+    return last.where("last.present_after").select("key", "last.version", "last.doc")
+
+
+QUERIES = {f.__name__: f for f in (replay_replies, replay_current, replay_versions, replay_upsert_current, point_lookup, batch_lookup, insert_only_save, update_batch, delete_batch, ordered_dump, compacted_snapshot, parse_commands, reply_summary, session_database, create_databases, key_codec, prefix_predicate, generated_keys, key_domain_check, stream_replay_current)}
+
+_OPS = """
+ops AS (
+  SELECT to_hex(user_id) AS key, event_id AS seq, coalesce(props, '') AS doc,
+         CASE event_type WHEN 'signup' THEN 'save_key' WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'update' WHEN 'error' THEN 'delete' WHEN 'view' THEN 'lookup' END AS op
+  FROM events)"""
+_REPLAY = f"""
+WITH {_OPS.strip()},
+p AS (
+  SELECT *, coalesce(last_value(CASE WHEN op IN ('save_key', 'delete') THEN op END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'save_key', false) AS present FROM ops),
+i AS (
+  SELECT *, CAST(sum(CASE WHEN op = 'save_key' AND NOT present THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS incarnation,
+         (op = 'save_key' AND NOT present) OR (op = 'update' AND present) AS wrote FROM p),
+r AS (
+  SELECT *, CAST(sum(CASE WHEN wrote THEN 1 ELSE 0 END) OVER w AS BIGINT) AS version, last_value(CASE WHEN wrote THEN doc END IGNORE NULLS) OVER w AS current_doc,
+         op = 'save_key' OR (present AND op <> 'delete') AS present_after
+  FROM i WINDOW w AS (PARTITION BY key, incarnation ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+a AS (
+  SELECT *, CASE WHEN op = 'save_key' THEN CASE WHEN present THEN 'keyInUse' ELSE key END WHEN op = 'update' THEN 'ok' WHEN op = 'delete' THEN CASE WHEN present THEN 'ok' ELSE 'keyUnused' END
+                 WHEN present THEN current_doc ELSE 'not_found' END AS reply,
+         CASE WHEN op = 'save_key' THEN NOT present WHEN op IN ('update', 'delete') THEN present END AS applied FROM r),
+l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
+"""
+_CURRENT = _REPLAY + "SELECT key, version, current_doc AS doc FROM l WHERE present_after"
+_LIVE = "live AS (SELECT to_hex(o_orderkey) AS key, CAST(1 AS BIGINT) AS version, o_orderpriority AS doc FROM orders WHERE o_orderkey % 3 = 0), batch AS (SELECT to_hex(c_custkey) AS key, c_name AS doc FROM customer)"
+_CANONICAL = r"regexp_replace(upper(text), '^0+(.)', '\1')"
+
+ORACLES = {
+    "replay_replies": _REPLAY + "SELECT seq, key, op, reply, applied, incarnation, CASE WHEN present_after THEN version END AS version FROM a",
+    "replay_current": _CURRENT,
+    "replay_versions": _REPLAY + "SELECT key, incarnation, version, doc, seq, lag(seq) OVER (PARTITION BY key, incarnation ORDER BY seq) AS prev_seq FROM a WHERE wrote",
+    "replay_upsert_current": f"WITH {_OPS.strip()} SELECT key, doc FROM (SELECT * FROM ops WHERE op <> 'lookup' QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op <> 'delete'",
+    "point_lookup": "SELECT to_hex(o_orderkey) AS key, o_orderpriority AS doc FROM orders WHERE o_orderkey = 31",
+    "batch_lookup": f"WITH {_LIVE} SELECT k.key, CASE WHEN l.key IS NULL THEN 'not_found' ELSE l.doc END AS reply FROM (SELECT DISTINCT to_hex(user_id) AS key FROM events) k LEFT JOIN live l USING (key)",
+    "insert_only_save": f"WITH {_LIVE} SELECT b.key, CASE WHEN l.key IS NULL THEN b.key ELSE 'keyInUse' END AS reply, l.key IS NULL AS applied, CASE WHEN l.key IS NULL THEN CAST(1 AS BIGINT) END AS version FROM batch b LEFT JOIN live l USING (key)",
+    "update_batch": f"WITH {_LIVE} SELECT b.key, 'ok' AS reply, l.key IS NOT NULL AS applied, l.version + 1 AS version, CASE WHEN l.key IS NOT NULL THEN b.doc END AS doc FROM batch b LEFT JOIN live l USING (key)",
+    "delete_batch": f"WITH {_LIVE} SELECT b.key, CASE WHEN l.key IS NULL THEN 'keyUnused' ELSE 'ok' END AS reply, l.key IS NOT NULL AS applied FROM batch b LEFT JOIN live l USING (key)",
+    "ordered_dump": _REPLAY + "SELECT key, version FROM l WHERE present_after ORDER BY length(key), key",
+    "compacted_snapshot": _CURRENT,
+    "parse_commands": r"""
+WITH lines AS (
+  SELECT conv_id, turn, repeat(' ', turn % 3) || CASE turn % 4 WHEN 0 THEN 'save ' || text WHEN 1 THEN 'save_key ' || to_hex(conv_id) || '  ' || text WHEN 2 THEN 'lookup ' || to_hex(conv_id) ELSE 'SAVE ' || text END || '  ' || chr(13) || chr(10) AS raw FROM conversations),
+s AS (SELECT conv_id, turn, trim(regexp_replace(raw, '[\r\n]+$', ''), ' ') AS line FROM lines),
+c AS (SELECT conv_id, turn, regexp_extract(line, '^[^ ]*') AS command, trim(regexp_extract(line, '(?s)^[^ ]*(.*)$', 1), ' ') AS args FROM s)
+SELECT conv_id, turn, command, args,
+       CASE WHEN command IN ('save_key', 'update') THEN regexp_extract(args, '^[^ ]*') WHEN command IN ('lookup', 'delete') THEN args END AS key,
+       CASE WHEN command IN ('save_key', 'update') THEN trim(regexp_extract(args, '(?s)^[^ ]*(.*)$', 1), ' ') WHEN command = 'save' THEN args END AS doc,
+       command IN ('save', 'save_key', 'lookup', 'update', 'delete', 'connect', 'create_db', 'delete_db') AS valid
+FROM c""",
+    "reply_summary": _REPLAY + "SELECT op, CASE WHEN op = 'lookup' THEN CASE WHEN reply = 'not_found' THEN 'not_found' ELSE 'found' END WHEN applied THEN 'applied' ELSE 'not_applied' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM a GROUP BY ALL",
+    "session_database": """
+WITH c AS (
+  SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 3 = 0 THEN 'connect' ELSE 'lookup' END AS command, CASE WHEN turn % 3 = 0 THEN 'db' || ((conv_id + turn) % 5) ELSE to_hex(turn) END AS args FROM conversations),
+d AS (
+  SELECT *, last_value(CASE WHEN command = 'connect' AND args <> 'db4' THEN args END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS db FROM c)
+SELECT session, seq, command, args, db,
+       CASE WHEN command = 'connect' THEN CASE WHEN args <> 'db4' THEN 'Database set to ' || args ELSE 'Database ' || args || ' does not exist' END WHEN db IS NULL THEN 'Database not set, use connect' END AS db_reply
+FROM d""",
+    "create_databases": """
+WITH c AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 7 = 0 THEN 'no name ' ELSE 'db_' END || p_size AS name FROM part)
+SELECT seq, name, CASE WHEN contains(name, ' ') THEN 'badname' WHEN name IN ('db_1', 'db_2') OR seq > min(seq) OVER (PARTITION BY name) THEN 'eexist' ELSE 'ok' END AS reply FROM c""",
+    "key_codec": "SELECT o_orderkey, to_hex(o_orderkey) AS key, o_orderkey AS number, to_hex(o_orderkey) AS round_trip FROM orders",
+    "prefix_predicate": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE substr(p_name, 1, 3) END AS prefix, p_partkey % 3 <> 0 AND length(p_name) > 0 AS is_prefix FROM part",
+    "generated_keys": "SELECT doc_id, upper('1' || substr(sha256('0:' || doc_id), 1, 10) || lpad(to_hex(doc_id), 16, '0')) AS key FROM documents",
+    "key_domain_check": f"WITH t AS (SELECT doc_id, upper(substr(md5(CAST(doc_id AS VARCHAR)), 1, CAST(1 + doc_id % 32 AS BIGINT))) AS text FROM documents), c AS (SELECT *, {_CANONICAL} AS canonical FROM t) SELECT doc_id, text, canonical, length(canonical) < 28 OR (length(canonical) = 28 AND canonical[1] < '8') AS valid FROM c",
+    "stream_replay_current": _CURRENT,
+}
