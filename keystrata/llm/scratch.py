@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import shared
+
 _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
@@ -65,14 +67,5 @@ def clear() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable by the Python workers of every executor,
-    wherever the driver found it; once per application."""
-    import shutil
-
-    app = spark.sparkContext.applicationId
-    if _own.get("shipped") != app:
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        stage = tempfile.mkdtemp(prefix="keystrata-code-")
-        shutil.copytree(f"{root}/keystrata", f"{stage}/pkg/keystrata", ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{stage}/keystrata", "zip", f"{stage}/pkg"))
-        _own["shipped"] = app
+    """Makes this package importable by the Python workers of every executor."""
+    shared.ship(spark)
