@@ -118,7 +118,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The documents without a verified overlap, with all their columns."""
     found = scratch.written(overlaps(docs, benchmark, id_col, **cols).select(F.col("doc_id").alias("_overlap_id")).distinct(), "contaminated")
     few = found.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(found) if few else found, docs[id_col].cast("long").eqNullSafe(F.col("_overlap_id")), "left_anti")
+    return docs.join(F.broadcast(found) if few else found, docs[id_col].cast("long").eqNullSafe(found["_overlap_id"]), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

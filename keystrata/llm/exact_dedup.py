@@ -9,7 +9,7 @@ whose bytes differ are split by their text, so a digest collision merges nothing
 
 Defined results
     null text: as the empty text. Texts are equal if identical after A-Z only
-    are lower-cased. null id: below every other id. Repeated rows (same id, same
+    are lower-cased. null id: kept only where no row of the group has an id. Repeated rows (same id, same
     text): count as rows of the group; exactly one row of a group is kept.
     empty table: empty result. Extra columns are not read.
 """
@@ -45,9 +45,8 @@ def flush(docs: DataFrame, digest_bits: int = 256, id_col: str = "doc_id", text_
 def _packed(keep: str):
     """doc_id and seq as one number of fixed width, so that the merge stays a
     hash aggregation; the larger one wins."""
-    doc = F.coalesce(F.col("doc_id"), F.lit(LOWEST)).cast("decimal(19,0)")
-    if keep == "min":
-        doc = -doc
+    doc = F.col("doc_id").cast("decimal(19,0)")
+    doc = F.coalesce(-doc if keep == "min" else doc, F.lit(LOWEST).cast("decimal(19,0)"))
     return (doc * F.lit(2**62).cast("decimal(19,0)") + F.col("seq").cast("decimal(19,0)")).cast("decimal(38,0)")
 
 

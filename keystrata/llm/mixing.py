@@ -20,7 +20,8 @@ Defined results
     null or empty text: one token. null source: a source of its own. null id:
     hashed like any id. Repeated rows: mixed each by itself; rows of one id are
     taken or left together at the cut. Empty table: empty result.
-    ``epoch`` and ``place`` are added and replace input columns of these names.
+    ``epoch`` and ``place`` are added and replace input columns of these names
+    (give other names by ``added``).
 """
 
 from __future__ import annotations
@@ -154,20 +155,21 @@ def _near(sources: DataFrame):
     return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
 
 
-def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", **target) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", added: tuple[str, str] = ("epoch", "place"), **target) -> DataFrame:
     """The documents, each as often as the mix has it, with ``epoch`` and
-    ``place`` (from 0 to 1): sorted by place, every stretch of the output has
-    the sources at their weights."""
+    ``place`` (from 0 to 1; ``added`` names both): sorted by place, every stretch
+    of the output has the sources at their weights."""
     sources, _ = plan_mix(docs, seed=seed, id_col=id_col, source_col=source_col, **target)
     info = sources.select("key", "blocks", "whole", "left", "repeats", "cut_block", "cut_doc")
     # The row's own columns travel in one struct: no name of theirs can clash.
-    own = [c for c in docs.columns if c not in ("epoch", "place")]
+    own = [c for c in docs.columns if c.lower() not in added]
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), F.col(id_col).cast("long").alias("doc_id"), _source_key(F.col(source_col)).alias("key"))
     out = held.join(_near(info), "key").withColumn("copies", copies(seed)).where("copies > 0")
     out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     block, doc = (F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), 11) / F.lit(float(2**53)) for h in (block_hash(seed, F.col("epoch")), doc_hash(seed, F.col("epoch"))))
     u = (block * (F.col("blocks") - 1) + doc) / F.col("blocks")
-    return out.select("own.*", "epoch", F.least(F.lit(1.0), (F.col("epoch") + u) / F.col("repeats")).alias("place"))
+    place = F.least(F.lit(1.0), (F.col("epoch") + u) / F.col("repeats"))
+    return out.select("own.*", F.col("epoch").alias(added[0]), place.alias(added[1]))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

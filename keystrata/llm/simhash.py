@@ -243,10 +243,10 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "do
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct().unionByName(several)
     drop = scratch.written(drop, "dropped-ids")
     near = F.broadcast if drop.count() <= BROADCAST_IDS else (lambda df: df)
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_drop_id"))
-    out = docs.join(near(drop), same, "left_anti")
+    own_id = docs[id_col].cast("long")
+    out = docs.join(near(drop), own_id.eqNullSafe(drop["_drop_id"]), "left_anti")
     if not several.isEmpty():
-        rest = docs.join(near(several), same, "left_semi")
+        rest = docs.join(near(several), own_id.eqNullSafe(several["_drop_id"]), "left_semi")
         row = F.struct(*(F.col(f"`{c}`") for c in rest.columns))
         held = scratch.written(rest.select(row.alias("own"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("at")), "repeated-rows")
         marks = fingerprints(held.select(F.col("at"), "text"), words, "at").select(F.col("doc_id").alias("at"), "fp")
