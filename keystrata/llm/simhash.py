@@ -9,9 +9,8 @@ sends a search through most of its nodes, so trees are built per shard: the bits
 are cut into radius + 2 blocks, and as two fingerprints within the radius agree
 on at least two blocks, every pair of blocks with its value is a shard. A shard
 meets its own fingerprints only, so instead of a broadcast of all trees, queries
-and tree are dealt to one task. A shard of over ``SHARD_MAX`` fingerprints is
-dealt anew by the bits that are still free, cut into radius + 1 segments of
-which one must agree, and so on; fingerprints are distinct, so this ends.
+and tree are dealt to one task. Fingerprints of a shard of over ``SHARD_MAX`` are
+linked without a tree, by points that lie between two of them.
 
 A shard's links leave it as a star per local component (each member to the
 smallest), not as pairs. Stars are joined to components by alternating large-
@@ -37,8 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import scratch
+from .text import long_array
 
-SHARD_MAX = 1024
+SHARD_MAX = 4096
 ROUNDS_MAX = 60
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -177,34 +177,45 @@ def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
     return rows.select("fp", F.explode(made).alias("s")).select("s.mask", "s.value", "fp")
 
 
+def _ball(radius: int) -> list[int]:
+    """All 64-bit masks of at most ``radius`` bits."""
+    return [_signed(sum(1 << b for b in bits)) for n in range(radius + 1) for bits in combinations(range(64), n)]
+
+
+def _links_by_meeting(fps: DataFrame, radius: int) -> DataFrame:
+    """Edges by meeting points, for fingerprints of overfull shards: two within
+    the radius have a point within radius // 2 of one and the rest of the other.
+    Every fingerprint makes a fixed number of points, and a point joins all that
+    reach it to the smallest one near it, so nothing grows with a shard."""
+    near = _ball(radius // 2)
+    far = _ball(radius - radius // 2)
+    points = lambda ball: fps.select("fp", F.explode(long_array(ball)).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("point"))
+    least = points(near).groupBy("point").agg(F.min("fp").alias("b"))
+    return points(far).join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+
+
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges a, b between distinct fingerprints: stars that connect whatever
-    links within the radius connect."""
+    """Edges a, b between distinct fingerprints: they connect whatever links
+    within the radius connect."""
+    spark = fps.sparkSession
     blocks = _cut(list(range(64)), radius + 2)
     rows = _dealt(fps, [a | b for a, b in combinations(blocks, 2)])
-    done = None
-    while True:
-        hot = scratch.written(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_MAX).select("mask", "value"), "hot-shards")
-        if hot.isEmpty():
-            break
-        cold = rows.join(hot, ["mask", "value"], "left_anti")
-        done = cold if done is None else done.unionByName(cold)
-        hot_rows = scratch.written(rows.join(hot, ["mask", "value"], "left_semi"), "hot-rows")
-        parts = None
-        for (m,) in hot.select("mask").distinct().collect():
-            free = [b for b in range(64) if not m >> b & 1]
-            finer = _dealt(hot_rows.where(F.col("mask") == m).select("fp"), [(m & (2**64 - 1)) | c for c in _cut(free, radius + 1)])
-            parts = finer if parts is None else parts.unionByName(finer)
-        rows = parts.distinct()
-    rows = rows if done is None else done.unionByName(rows)
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = scratch.written(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_MAX).select("mask", "value"), "hot-shards")
+    more = None
+    if not hot.isEmpty():
+        inside = scratch.written(rows.join(hot, ["mask", "value"], "left_semi").select("fp").distinct(), "hot-fingerprints")
+        more = _links_by_meeting(inside, radius)
+        rows = rows.join(hot, ["mask", "value"], "left_anti")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = rows.repartition(n, "mask", "value").sortWithinPartitions("mask", "value")
-    scratch.ship(fps.sparkSession)
-    return shards.mapInArrow(lambda batches: _stars_of(batches, radius), "a long, b long").distinct()
+    scratch.ship(spark)
+    found = shards.mapInArrow(lambda batches: _stars_of(batches, radius), "a long, b long")
+    return (found if more is None else found.unionByName(more)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reached) of every node of the edges."""
+    """node, root (the smallest node reached) of every node of the edges that is
+    not a root itself."""
     e = scratch.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     for _ in range(ROUNDS_MAX):

@@ -1,0 +1,72 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from keystrata.llm import scratch, token_files as T
+
+ODD = ["", " ", "  ", " a", "a ", "a  b", "a \n b", "x\n\ny  z ", "don't it's 'quoted' we'll", "a\xa0b c　d", "日本語 テキスト", "a\tb", "é x", "1,234.5 6a b7", "foo--bar (baz)", "<|endoftext|> hi <|endoftext|>", "a 　 b", "\U0001f600 hi \U0001f601\U0001f602", "a\x1c b \x1cc", "under_score _x", "ª º a²", "Ǆ x", "a' b 's", "word... word!! (x)", "a᠎ b", "x" * 5000, "tail."]
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(T.tokenizer_path())
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_pieces_give_the_librarys_ids(library):
+    r = random.Random(3)
+    texts = ODD + ["".join(r.choice("ab é.,'\n\t1_-A ") for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    e = T.Encoder(T.tokenizer_path())
+    for t in texts:
+        assert np.frombuffer(e.text(t), e.dtype).tolist() == library(t), repr(t)
+
+
+def test_full_memo_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(T, "MEMO_ENTRIES", 3)
+    e = T.Encoder(T.tokenizer_path())
+    text = "one two three four. five, one two six seven one"
+    assert np.frombuffer(e.text(text), e.dtype).tolist() == library(text)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_tokenizers_get_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(T.tokenizer_path(name))
+    t.encode_special_tokens = True
+    e = T.Encoder(T.tokenizer_path(name))
+    assert np.frombuffer(e.text("Some  words here."), e.dtype).tolist() == t.encode("Some  words here.", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 50, 5000])
+def test_perfect_hash(n):
+    keys = np.unique(np.random.default_rng(n).integers(-(2**63), 2**63 - 1, n))
+    h = T.PerfectHash.build(keys)
+    assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
+
+
+def test_files_give_back_every_row(spark, documents, library):
+    rows = [(i * 7, t) for i, t in enumerate(ODD)] + [(None, "null id"), (None, None), (14, "again"), (14, "again"), (-5, None)]
+    folder = scratch.new_path(spark, "tokens-test")
+    manifest = T.write_tokens(documents(rows, clash=True), T.tokenizer_path(), folder, n_shards=3)
+    assert len(manifest) == 3
+    found = sorted(T.read_tokens(spark, manifest).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in found]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    want = sorted((d is not None, d or 0, len(library(t)) + 1, zlib.crc32(np.array([*library(t), 0], "<u4").tobytes())) for d, t in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in found) == want
+    assert [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1].tolist()]
+    for d, t in rows:
+        if d not in (14, None):
+            assert [x.tolist() for x in T.lookup(manifest, d)] == [library(t)]
+    assert sorted(x.tolist() for x in T.lookup(manifest, 14)) == sorted([library(ODD[2]), library("again"), library("again")])
+    assert T.lookup(manifest, 15) == [] and T.lookup(manifest, 10**12) == []
+
+
+def test_empty_table(spark, documents):
+    assert T.tokenise(documents([])).count() == 0
