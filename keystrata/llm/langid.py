@@ -23,14 +23,13 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import scratch
 
@@ -42,7 +41,7 @@ EMBED, HIDDEN = 8, 12
 EPOCHS, BATCH, STEP = 8, 256, 0.01
 MEMO_WORDS = 400_000
 CHUNK_CHARS = 2_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes of letters: ASCII letters and all bytes of longer UTF-8 sequences.
 _LETTER_BYTE = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)], np.float32)
 
@@ -229,10 +228,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not langs:
         return None
     each = min(1000, max(8, SAMPLE_DOCS // len(langs)))
-    # The rank is limited in each partition before anything is shuffled.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = usable.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
-    ids = [r[0] for r in picked.where(F.col("lang").isin([r.lang for r in langs])).select("id").collect()]
+    # Hashes below a share of their range that holds enough of the language: what
+    # comes to the driver is bounded, and nothing is ranked by a shuffle.
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(2**53))
+    share = F.create_map(*(F.lit(x) for r in langs for x in (r.lang, (2 * each + 50) / r["count"])))
+    drawn = usable.select("id", "lang", place.alias("place")).where(F.col("place") < F.element_at(share, F.col("lang"))).distinct().collect()
+    ids: list[int] = []
+    for r in langs:
+        ids += [x.id for x in sorted((x for x in drawn if x.lang == r.lang), key=lambda x: (x.place, x.id))[:each]]
     sample = usable.where(F.col("id").isin(ids) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text").sort("lang", "id").limit(len(ids)).collect()
     r, words = np.random.default_rng(seed), []
     for lang in sorted({x.lang for x in sample}):
