@@ -122,7 +122,8 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
         exact = possible.join(near(keyed), ["kind", "host_key", "path_key"])
         won = exact.groupBy("host", "path").agg(F.max(F.struct("rank", "kind", "name", "verdict")).alias("w"), F.max((F.col("kind") == "url").cast("int")).alias("is_listed"))
         won = scratch.written(won.select("host", "path", F.col("w.name").alias("rule"), F.col("w.verdict").alias("verdict"), F.col("is_listed").cast("boolean").alias("listed")), "url-verdicts")
-        return base.join(won, ["host", "path"], "left").select(*keep, "host", "path", "rule", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("verdict", F.lit(default)).alias("verdict"))
+        # Few bytes on disk may be many in memory: no broadcast by file size.
+        return base.join(won.hint("merge"), ["host", "path"], "left").select(*keep, "host", "path", "rule", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("verdict", F.lit(default)).alias("verdict"))
     finally:
         table.unpersist()
 
