@@ -283,6 +283,8 @@ CUES = {
     "share": "share tweet facebook twitter email print".split(),
     "header": "welcome menu".split(),
 }
+#: Cue words stand in main text as well.
+CUE_WORDS = sorted({w for words in CUES.values() for w in words})
 CONTENT = "content main article post entry story body text article-body post-content entry-content page-content main-content article-content maincontent blog-post hentry".split()
 
 
@@ -295,7 +297,7 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
         return "".join(r.choice(["th", "er", "on", "an", "re", "ing", "is", "é", "au", "ch", "ei", "ung", "ó", "os", "la", "de", "que", "tion", "en", "st"]) for _ in range(r.randint(1, 4)))
 
     def words(n: int, role: str | None = None) -> str:
-        own = [r.choice(CUES[role]) if role and r.random() < 0.3 else word() for _ in range(n)]
+        own = [r.choice(CUES[role]) if role and r.random() < 0.3 else r.choice(CUE_WORDS) if not role and r.random() < 0.1 else word() for _ in range(n)]
         text = " ".join(own).capitalize() + r.choice([".", ".", ".", "", "!", "?"])
         return text.replace("is", "&amp;") if r.random() < 0.03 else text
 
