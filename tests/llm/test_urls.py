@@ -1,0 +1,60 @@
+import re
+
+import duckdb
+import pytest
+
+from keystrata.llm import urls
+
+URLS = [
+    None, "", "no scheme", "http://", "http://COM/", "https://a.com", "http://Example.com/en/", "http://example.com/en/x?q", "http://www.example.com/en/a#b", "http://x.www.example.com/en/", "http://notexample.com/en/", "http://example.com/EN/",
+    "https://y.net/es/1", "https://net/fr/", "https://y.net/es", "ftp://É.net/es/?/fr/", "http://a.net?x=/es/", "http://m.thersh.example.org/en/2048/", "http://m.thersh.example.org/en/2048?x", "http://ththnt.example.org/en/7532", "//x", "a://b://c.com/d", "http://.com/", "http://com./", "http://u@h.com:80/p",
+]
+
+
+def brute(url):
+    at = (url or "").find("://")
+    rest = url[at + 3 :] if at >= 0 else ""
+    host = re.sub("[A-Z]", lambda m: m.group().lower(), re.match(r"[^/?#]*", rest).group())
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    fit = [(h, p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, key=lambda r: (len(r[0] + r[1]), len(r[0])), default=None)
+    return host, path, best and best[0] + best[1], best and best[2]
+
+
+@pytest.fixture(scope="module")
+def listed(spark):
+    return spark.createDataFrame([(u,) for u in urls.LISTED], "url string")
+
+
+def test_equals_brute_force(spark, listed):
+    rows = [(i, u, 1, 2) for i, u in enumerate(URLS * 2)] + [(None, "http://a.com/", 1, 2)]
+    found = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, rule int, host int"), listed=listed).collect()
+    assert len(found) == len(rows)
+    by = {r[0]: brute(r[1]) for r in rows}
+    for r in found:
+        host, path, rule, verdict = by[r.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (verdict or ("block" if r.listed else "allow"))
+    assert {URLS[r.page_id % len(URLS)] for r in found if r.page_id is not None and r.listed} == {URLS[i] for i in (17, 18, 19)}
+
+
+def test_long_list_and_no_broadcast(spark, monkeypatch):
+    many = spark.range(3000).selectExpr("concat('http://h', id, '.org/p') AS url")
+    pages = spark.range(6000).selectExpr("id AS page_id", "concat('http://h', id, '.org/p/') AS url")
+    monkeypatch.setattr(urls, "BROADCAST_ENTRIES", 0)
+    found = urls.judge_urls(pages, listed=many).collect()
+    assert sorted(r.page_id for r in found if r.verdict == "block") == list(range(3000)) and len(found) == 6000
+
+
+def test_empty(spark, listed):
+    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string"), listed=listed).count() == 0
+    assert urls.judge_urls(spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string"), rules=(), listed=None).first().verdict == "allow"
+
+
+def test_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    df = urls.op8_url_filter(spark, sf)
+    columns = sorted(df.columns)
+    assert sorted(map(repr, map(tuple, df.select(columns).collect()))) == sorted(map(repr, con.sql(urls.ORACLE).select(*columns).fetchall()))
