@@ -204,16 +204,10 @@ class Memo:
         return out
 
 
-_memos: dict[str, Memo] = {}
-
-
 def memo_of(langs: list[str], p: dict[str, np.ndarray]) -> Memo:
     """One per Python worker and network."""
     net = ByteGRU(langs, p)
-    if net.key not in _memos:
-        _memos.clear()
-        _memos[net.key] = Memo(net)
-    return _memos[net.key]
+    return scratch.worker_memo(("langid", net.key), lambda: Memo(net))
 
 
 def held_out(doc_id: Column) -> Column:

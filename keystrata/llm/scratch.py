@@ -10,12 +10,15 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import shared
 
 _own: dict[str, str] = {}
+_kept: dict[tuple, Any] = {}
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -66,6 +69,15 @@ def clear() -> None:
             pass
 
 
+def worker_memo(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between its tasks: one thing at a time. Asking
+    for another one, as the next stage's tasks do, frees the former."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable by the Python workers of every executor."""
     shared.ship(spark)

@@ -17,8 +17,9 @@ by its 32-bit fingerprint. Shards hold ascending key ranges, so a lookup finds
 the shard by bisection, the row by the hash, the ids by one read.
 
 Encoding uses the tokenizers library. A single blank between two characters
-that are no white space always starts a new pre-token of a byte-level BPE, so a
-text is cut there and the library's ids of each piece are kept in a bounded memo.
+that are no white space always starts a new pre-token of a byte-level BPE, and a
+single line end there is one, so a text is cut at them and the library's ids of
+each piece are kept in a bounded memo.
 
 Defined results
     null text: no ids but the end id. null key: ordered first; not reachable by
@@ -31,11 +32,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +48,14 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-MEMO_ENTRIES = 300_000
+#: The memo's pieces per generation, and the longest piece that it keeps.
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
 END_ID = 0
 LEVEL_SIZE = 2.0
-_SPLIT = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
-_RUN = re.compile(r"[\s᠎​﻿]{2}")
+_BLANK = r"[\s\u180e\u200b\ufeff]"
+_SPLIT = re.compile(rf"(?<=[^{_BLANK[1:]}) (?=[^{_BLANK[1:]})")
+#: No text, or white space at an end: such a piece isn't a cut of its own.
+_EDGE = re.compile(rf"\A{_BLANK}|{_BLANK}\Z|\A\Z")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?|*#$%&()]*)\Z")
 
 
@@ -62,6 +67,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Uncut(Exception):
+    """A text that can't be cut at every blank."""
+
+
 class Encoder:
     """Whole texts to packed ids."""
 
@@ -73,7 +82,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.model = self.tokenizer.model
+        self.dtype, self.code = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
         kind = json.loads(self.tokenizer.to_str())
         pre = kind["pre_tokenizer"] or {}
         #: Only this kind of tokenizer may be cut at blanks; others get the whole text.
@@ -87,55 +97,80 @@ class Encoder:
 
             def __init__(self, lead: str):
                 self.lead, self.old = lead, {}
+                self.letter = encoder.letters[32] if lead else ""
 
             def __missing__(self, piece: str) -> bytes:
                 ids = self.old.get(piece)
                 if ids is None:
                     ids = encoder.piece(self, piece)
-                if len(self) >= MEMO_ENTRIES:
-                    self.old = dict(self)
-                    self.clear()
-                self[piece] = ids
+                if len(piece) <= MEMO_CHARS:
+                    if len(self) >= MEMO_ENTRIES:
+                        self.old = dict(self)
+                        self.clear()
+                    self[piece] = ids
                 return ids
 
         self.first, self.later, self.behind = Memo(""), Memo(" "), {}
+        self.line = self.word(self.letters[10]) if self.cuts else b""
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def spelled(self, text: str) -> str:
+        """Letters and marks in the byte-level alphabet; ASCII ones stay."""
+        return text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
 
-    def word(self, text: str) -> list[int]:
+    def word(self, spelled: str) -> bytes:
         """Ids of one pre-token, straight from the library's model."""
-        return [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        return self.pack([t.id for t in self.model.tokenize(spelled)])
 
     def piece(self, memo: dict[str, bytes], piece: str) -> bytes:
-        if self.cuts and (m := _PLAIN.match(piece)):
+        if m := _PLAIN.match(piece):
             if m[2]:
                 return memo[m[1]] + self.marks(m[2])
-            return self.pack(self.word(memo.lead + piece))
-        return self.pack(self.tokenizer.encode(memo.lead + piece, add_special_tokens=False).ids)
+            return self.word(memo.letter + self.spelled(piece))
+        if _EDGE.search(piece):
+            raise _Uncut
+        # A line end between characters that are no white space is a pre-token.
+        lines = piece.split("\n")
+        if len(lines) > 1 and not any(map(_EDGE.search, lines)):
+            return memo[lines[0]] + b"".join(self.line + self.first[x] for x in lines[1:])
+        return self.library(memo.lead + piece)
 
     def marks(self, marks: str) -> bytes:
         """Ids of punctuation behind a word, which is a pre-token of its own."""
         ids = self.behind.get(marks)
         if ids is None:
-            ids = self.pack(self.word(marks))
+            ids = self.word(marks)
             if len(marks) <= 4:
                 self.behind[marks] = ids
         return ids
 
+    def library(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def text(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.cuts:
-            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces = _SPLIT.split(text) if text[0] == " " or text[-1] == " " or _RUN.search(text) else text.split(" ")
-        return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
+            return self.library(text)
+        pieces = text.split(" ")
+        try:
+            return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
+        except _Uncut:
+            pieces = _SPLIT.split(text)
+            return self.odd(self.first, pieces[0]) + b"".join(self.odd(self.later, p) for p in pieces[1:])
+
+    def odd(self, memo: dict[str, bytes], piece: str) -> bytes:
+        return self.library(memo.lead + piece) if _EDGE.search(piece) else memo[piece]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One per Python worker: its memo serves all tasks of the worker."""
-    return Encoder(path)
+    return scratch.worker_memo(("encoder", path), lambda: Encoder(path))
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
