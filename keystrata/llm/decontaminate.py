@@ -8,6 +8,11 @@ extended to both sides, a match scoring 1 and a substitution -3, as long as the
 score stays within 6 of the best. An overlap counts if at least 12 words (or the
 whole item, if shorter) match and at least 80 % of its length does.
 
+With ``whole_items``, as the query and the pipeline have it, an item of any length
+also counts if it lies in a document without shifts and at least 80 % of all its
+words match. At n words, of which s may differ, it is cut into s + 1 parts of 2 to
+5 words; one of them is intact, so the parts' hashes as seeds miss no such place.
+
 Words are runs of letters and digits, lower-cased. Items shorter than a mask are
 looked for as a whole. The item side is broadcast only behind a count of its
 seeds; beyond that Spark joins by shuffle.
@@ -55,6 +60,21 @@ def _seeds(rows: DataFrame, masks: list[str], *carried: str) -> DataFrame:
     return placed.select(*carried, "w", "at", F.explode(F.array(*(F.expr(_seed(m, "w", "at")) for m in masks))).alias("seed")).where("seed IS NOT NULL")
 
 
+def _part_seeds(items: DataFrame) -> tuple[DataFrame, list[str]]:
+    """item, item_at and seed of the parts of which one survives all substitutions
+    that an item may have, and the masks they are laid out by."""
+    n = F.size("w")
+    parts = items.withColumn("parts", (n - F.ceil(n * F.lit(MIN_IDENTITY)) + 1).cast("int")).where("parts > 1")
+    parts = parts.select("item", "w", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    parts = parts.withColumns({"at": F.expr("cast(part * size(w) div parts AS int)"), "end": F.expr("cast((part + 1) * size(w) div parts AS int)")})
+    parts = scratch.written(parts.withColumn("n", F.col("end") - F.col("at")), "parts")
+    masks = ["1" * r[0] for r in sorted(parts.select("n").distinct().collect())]
+    seeds = items.sparkSession.createDataFrame([], "item long, item_at int, seed long")
+    for m in masks:
+        seeds = seeds.unionByName(parts.where(F.col("n") == len(m)).select("item", F.col("at").alias("item_at"), F.expr(_seed(m, "w", "at")).alias("seed")))
+    return seeds, masks
+
+
 def _extend(same: Column) -> Column:
     """struct(length, matched) of the best stretch from the start of ``same``."""
     start = F.struct(F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("n"), F.lit(0).alias("hits"), F.lit(0).alias("len"), F.lit(0).alias("matched"))
@@ -77,9 +97,10 @@ def _extend(same: Column) -> Column:
     return F.aggregate(same, start, step)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", whole_items: bool = False) -> DataFrame:
     """doc_id, item_id, matched words, length and start (word index in the
-    document) of the longest verified overlap of each pair."""
+    document) of the longest verified overlap of each pair; ``whole_items`` judges
+    whole items too, beside the stretches."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(item_text)).alias("w")).where("size(w) > 0").distinct()
     items = scratch.written(items.withColumn("item", F.monotonically_increasing_id()), "items")
@@ -90,23 +111,35 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     for k, m in enumerate(masks):
         own = items.where(F.size("w") == len(m)) if k >= len(MASKS) else items
         seeds = seeds.unionByName(_seeds(own, [m], "item").select("item", F.col("at").alias("item_at"), "seed"))
+    seeds = seeds.withColumn("part", F.lit(False))
+    if whole_items:
+        parts, runs = _part_seeds(items)
+        seeds = seeds.unionByName(parts.withColumn("part", F.lit(True)))
+        masks += [m for m in runs if m not in masks]
     seeds = scratch.written(seeds, "seeds")
     near = F.broadcast if seeds.count() <= BROADCAST_SEEDS else (lambda df: df)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))
-    hits = _seeds(rows, masks, "doc_id").join(near(seeds), "seed").select("doc_id", "w", "at", "item", "item_at")
+    hits = _seeds(rows, masks, "doc_id").join(near(seeds), "seed").select("doc_id", "w", "at", "item", "item_at", "part")
     listed = items.select("item", "item_id", F.col("w").alias("iw"))
     hits = hits.join(near(listed), "item").withColumn("diagonal", F.col("at") - F.col("item_at"))
     low, high = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("iw"), F.size("w") - F.col("diagonal"))
     hits = hits.select(
-        "doc_id", "item_id", "at", (F.col("item_at") - low).alias("k"), F.size("iw").alias("n_item"),
+        "doc_id", "item_id", "at", "part", (F.col("item_at") - low).alias("k"), F.size("iw").alias("n_item"),
         F.slice("w", low + F.col("diagonal") + 1, high - low).alias("a"), F.slice("iw", low + 1, high - low).alias("b"),
     )
     hits = hits.withColumn("same", F.zip_with("a", "b", lambda x, y: x == y))
+    if whole_items:
+        hits = hits.withColumn("all", F.size(F.filter("same", lambda x: x)))
+        hits = hits.withColumn("whole", F.col("all") >= F.col("n_item") * MIN_IDENTITY).where("whole OR NOT part")
     right = _extend(F.slice("same", F.col("k") + 1, F.greatest(F.size("same") - F.col("k"), F.lit(0))))
     left = _extend(F.reverse(F.slice("same", F.lit(1), F.col("k"))))
-    ends = hits.select("doc_id", "item_id", "at", "n_item", right.alias("r"), left.alias("l"))
-    ends = ends.select("doc_id", "item_id", "n_item", (F.col("at") - F.col("l.len")).alias("start"), (F.col("r.matched") + F.col("l.matched")).alias("matched"), (F.col("r.len") + F.col("l.len")).alias("length"))
-    good = ends.where((F.col("matched") >= F.least(F.lit(MIN_MATCHED), F.col("n_item"))) & (F.col("matched") >= F.col("length") * MIN_IDENTITY))
+    whole = [F.col(c) for c in ("k", "whole", "all")] + [F.size("same").alias("n_same")] if whole_items else []
+    ends = hits.select("doc_id", "item_id", "at", "n_item", *whole, right.alias("r"), left.alias("l"))
+    stretch = F.struct((F.col("at") - F.col("l.len")).alias("start"), (F.col("r.matched") + F.col("l.matched")).alias("matched"), (F.col("r.len") + F.col("l.len")).alias("length"))
+    # A whole item holds each stretch on its diagonal.
+    found = F.when(F.col("whole"), F.struct((F.col("at") - F.col("k")).alias("start"), F.col("all").alias("matched"), F.col("n_same").alias("length"))).otherwise(stretch) if whole_items else stretch
+    ends = ends.select("doc_id", "item_id", "n_item", F.col("whole") if whole_items else F.lit(False).alias("whole"), found.alias("found")).select("doc_id", "item_id", "n_item", "whole", "found.*")
+    good = ends.where(F.col("whole") | ((F.col("matched") >= F.least(F.lit(MIN_MATCHED), F.col("n_item"))) & (F.col("matched") >= F.col("length") * MIN_IDENTITY)))
     # The longest, and of these the first, as one number: the sums stay hashed.
     rank = F.col("matched").cast("long") * F.lit(2**31) - F.col("start")
     best = good.groupBy("doc_id", "item_id").agg(F.max(rank).alias("rank"), F.max("length").alias("length"))
@@ -114,9 +147,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return best.select("doc_id", "item_id", matched.alias("matched"), F.col("length").cast("long").alias("length"), (matched * F.lit(2**31) - F.col("rank")).alias("start"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **cols: str) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", whole_items: bool = False, **cols: str) -> DataFrame:
     """The documents without a verified overlap, with all their columns."""
-    found = scratch.written(overlaps(docs, benchmark, id_col, **cols).select(F.col("doc_id").alias("_overlap_id")).distinct(), "contaminated")
+    found = scratch.written(overlaps(docs, benchmark, id_col, whole_items=whole_items, **cols).select(F.col("doc_id").alias("_overlap_id")).distinct(), "contaminated")
     few = found.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(found) if few else found, docs[id_col].cast("long").eqNullSafe(found["_overlap_id"]), "left_anti")
 
@@ -124,4 +157,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return overlaps(docs, benchmark)
+    return overlaps(docs, benchmark, whole_items=True)

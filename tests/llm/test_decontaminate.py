@@ -89,3 +89,31 @@ def test_empty_tables(spark, documents):
     assert D.overlaps(documents([(1, "a b c")]), bench).count() == 0
     assert D.decontaminate(documents([(1, "a b c")]), bench).count() == 1
     assert D.overlaps(documents([]), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_altered_copies_of_items_of_any_length(spark, documents):
+    """Whole items with as many substitutions as 80 % allows, at every place or
+    at random ones; none with one more is found by this."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    items = {i: [word() for _ in range(n)] for i, n in enumerate([5, 8, 9, 10, 12, 13, 15, 20, 24, 60])}
+    docs, want = [], set()
+    for i, w in items.items():
+        allowed = len(w) // 5
+        places = [[k] for k in range(len(w))] + [r.sample(range(len(w)), allowed) for _ in range(30)]
+        places += [list(range(0, len(w), 5))[:allowed], list(range(4, len(w), 5))[:allowed]]
+        for at in places:
+            changed = [word() if k in at else x for k, x in enumerate(w)]
+            docs.append((len(docs), " ".join([word() for _ in range(7)] + changed + [word() for _ in range(7)])))
+            want.add((docs[-1][0], i))
+    clean = len(docs)
+    for w in items.values():
+        if len(w) < 13:
+            at = r.sample(range(len(w)), len(w) // 5 + 1)
+            docs.append((len(docs), " ".join(word() if k in at else x for k, x in enumerate(w))))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = D.overlaps(documents(docs), bench, whole_items=True).collect()
+    assert {(x.doc_id, x.item_id) for x in found if x.doc_id < clean} == want
+    assert not [x for x in found if x.doc_id >= clean]
+    kept = D.decontaminate(documents(docs), bench, whole_items=True)
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(clean, len(docs)))
