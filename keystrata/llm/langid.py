@@ -1,23 +1,32 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Both directions read the bytes of a text, and every byte gets a distribution
-over the languages from the two states at it; a document's probabilities are the
-mean over its letters' bytes. State starts anew at white space (and within runs
-of over ``PIECE`` bytes), so the distributions of a word don't depend on its
-neighbours and are kept in a bounded memo; every word of every text counts.
+Both directions read all bytes of a text, and every byte gets a distribution over
+the languages from the two states at it; a document's probabilities are the mean
+over the bytes of its letters. Texts of up to ``WINDOW`` bytes and their context
+run as one sequence. Longer ones are cut into windows of ``WINDOW`` bytes, each of
+which the directions enter ``CONTEXT`` bytes early and whose context isn't pooled:
+every byte of a text is labelled once, and no state depends on the text's length.
+Windows of many texts run side by side, ordered by length.
 
 The network is trained here, in numpy, by backpropagation through time (Adam on
-the cross entropy of every byte's label). Its sample is bounded: ``SAMPLE_DOCS``
-documents in all, the same number per language and chosen by a hash of the id,
-each of at most ``SAMPLE_CHARS`` characters, and ``SAMPLE_WORDS`` words per
-language drawn from them. Documents that are held out, crc32(id) mod 4 = 2, and
-those without a label are never in it.
+the cross entropy of every byte's label). Its sample is bounded: the ``MAX_LANGS``
+most frequent languages, ``SAMPLE_DOCS`` documents in all, the same number per
+language and chosen by a hash of the id, and of each a stretch of
+``SAMPLE_CHARS`` characters at a place drawn by hash; ``SAMPLE_CUTS`` sequences
+per language are cut from these. Documents that are held out, crc32(id) mod 4 = 2,
+and those without a label are never in it.
+
+``keep_identified`` rejects documents without a letter and those whose score lies
+below the network's ``least``. Every fifth document of the sample is kept out of
+the fit for it: ``least`` lies a quarter of the way from chance (one language in
+so many) to the lowest score of these, so what goes is text that no language fits
+better than chance. With nothing to learn from, all with a letter stay.
 
 Defined results
     null text or no letter: ``und`` with score 0. Nothing to learn from (empty
-    table, no labels): ``und`` for all. null id: not held out. Repeated rows:
-    each gives a row. Extra columns: not read; ``identify`` returns them
-    unharmed in the struct ``own``.
+    table, no labels): ``und`` for all. A label ``und`` isn't learnt. null id: not
+    held out. Repeated rows: each gives a row. Extra columns: not read; ``identify``
+    returns them unharmed in the struct ``own``.
 """
 
 from __future__ import annotations
@@ -33,21 +42,19 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-SAMPLE_DOCS = 1600
-SAMPLE_CHARS = 20_000
-SAMPLE_WORDS = 6000
-PIECE = 32
+MAX_LANGS, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_CUTS = 200, 1600, 1200, 2000
+WINDOW, CONTEXT = 1024, 64
 EMBED, HIDDEN = 8, 12
-EPOCHS, BATCH, STEP = 8, 256, 0.01
-MEMO_WORDS = 400_000
-CHUNK_CHARS = 2_000_000
+#: Lengths of the sequences that the network is trained on.
+LENGTHS = (16, 40, 96)
+EPOCHS, BATCH, STEP = 2, 192, 0.02
+#: Positions times languages that run side by side, and characters held at once.
+CELLS, CHUNK_CHARS = 8_000_000, 2_000_000
+#: Stands behind a sequence's end; its update gate is shut, so states stay.
+PAD = 256
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes of letters: ASCII letters and all bytes of longer UTF-8 sequences.
-_LETTER_BYTE = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)], np.float32)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+_LETTER_BYTE = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)] + [False], np.float32)
 
 
 class ByteGRU:
@@ -55,8 +62,8 @@ class ByteGRU:
 
     NAMES = ("embed", "wf", "uf", "bf", "wb", "ub", "bb", "out", "bias")
 
-    def __init__(self, langs: list[str], p: dict[str, np.ndarray]):
-        self.langs, self.p = langs, p
+    def __init__(self, langs: list[str], p: dict[str, np.ndarray], least: float = 0.0):
+        self.langs, self.p, self.least = langs, p, least
         self.key = hashlib.sha256(b"".join(p[n].tobytes() for n in self.NAMES)).hexdigest()
 
     @classmethod
@@ -65,28 +72,90 @@ class ByteGRU:
         make = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         return cls(langs, {"embed": make(256, d) * 8, "wf": make(d, 3 * h), "uf": make(h, 3 * h), "bf": np.zeros(3 * h, np.float32), "wb": make(d, 3 * h), "ub": make(h, 3 * h), "bb": np.zeros(3 * h, np.float32), "out": make(2 * h, len(langs)), "bias": np.zeros(len(langs), np.float32)})
 
-    def run(self, x: np.ndarray, way: str, trace: list | None = None) -> np.ndarray:
+    # --- reading ---------------------------------------------------------------
+
+    def logits(self, x: np.ndarray, way: str) -> np.ndarray:
+        """A direction's share of the logits at every position of sequences that
+        stand in columns; (time, languages, sequences)."""
+        h, (n, m) = HIDDEN, x.shape
+        half = np.concatenate([np.full(2 * h, 0.5, np.float32), np.ones(h, np.float32)])  # a sigmoid is a tanh of half its argument
+        table = np.zeros((257, 3 * h), np.float32)
+        table[:256] = (self.p["embed"] @ self.p["w" + way] + self.p["b" + way]) * half
+        table[PAD, :h] = 40
+        table, u = np.ascontiguousarray(table.T), np.ascontiguousarray((self.p["u" + way] * half).T)
+        out = np.ascontiguousarray(self.p["out"][:h].T if way == "f" else self.p["out"][h:].T)
+        state, a, b = np.zeros((h, m), np.float32), np.empty((3 * h, m), np.float32), np.empty((3 * h, m), np.float32)
+        gates, new, found = np.empty((2 * h, m), np.float32), np.empty((h, m), np.float32), np.empty((n, len(out), m), np.float32)
+        for t in range(n) if way == "f" else range(n - 1, -1, -1):
+            np.take(table, x[t], axis=1, out=a, mode="clip")
+            np.dot(u, state, out=b)
+            np.add(a[: 2 * h], b[: 2 * h], out=gates)
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(gates[h:], b[2 * h :], out=new)
+            new += a[2 * h :]
+            np.tanh(new, out=new)
+            state -= new
+            state *= gates[:h]
+            state += new
+            np.dot(out, state, out=found[t])
+        return found
+
+    def pooled(self, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums over the positions' distributions by weight; (sequences, languages)."""
+        e = self.logits(x, "f")
+        e += self.logits(x, "b")
+        e += self.p["bias"][:, None]
+        e -= e.max(axis=1, keepdims=True)
+        np.exp(e, out=e)
+        e *= (weight / e.sum(axis=1))[:, None, :]
+        return e.sum(axis=0).T
+
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """Per text the sum of its letter bytes' distributions, and their number."""
+        out = np.zeros((len(texts), len(self.langs) + 1))
+        cuts = [(i, a, max(a - CONTEXT, 0), min(e, len(t)), min(e + CONTEXT, len(t))) for i, t in enumerate(texts) for a, e in windows(len(t))]
+        cuts.sort(key=lambda c: c[2] - c[4])
+        at = 0
+        while at < len(cuts):
+            longest = max(1, cuts[at][4] - cuts[at][2])
+            part = cuts[at : at + max(1, min(4096, CELLS // (max(8, len(self.langs)) * longest)))]
+            at += len(part)
+            x, core = np.full((len(part), longest), PAD, np.int64), np.zeros((len(part), longest), np.float32)
+            for k, (i, a, low, e, high) in enumerate(part):
+                x[k, : high - low] = np.frombuffer(texts[i], np.uint8, high - low, low)
+                core[k, a - low : e - low] = 1
+            core *= _LETTER_BYTE[x]
+            got = np.concatenate([self.pooled(np.ascontiguousarray(x.T), np.ascontiguousarray(core.T)), core.sum(axis=1, keepdims=True)], axis=1)
+            np.add.at(out, [c[0] for c in part], got)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        read = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        out = [("und", 0.0)] * len(texts)
+        for i, row in zip(read, self.sums([texts[i].lower().encode("utf-8", "replace") for i in read])):
+            best = int(row[:-1].argmax())
+            out[i] = (self.langs[best], min(1.0, float(row[best] / row[-1])))
+        return out
+
+    # --- training --------------------------------------------------------------
+
+    def run(self, x: np.ndarray, way: str, trace: list) -> np.ndarray:
         """States at every position of equally long byte rows; (time, rows, hidden)."""
         h, n = HIDDEN, x.shape[1]
         table, u = self.p["embed"] @ self.p["w" + way] + self.p["b" + way], self.p["u" + way]
-        state, out = np.zeros((len(x), h), np.float32), np.empty((n, len(x), h), np.float32)
+        state, out = np.zeros((len(x), h), table.dtype), np.empty((n, len(x), h), table.dtype)
         for t in range(n) if way == "f" else range(n - 1, -1, -1):
             a, b = table[x[:, t]], state @ u
-            gates = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
+            gates = 0.5 + 0.5 * np.tanh(0.5 * (a[:, : 2 * h] + b[:, : 2 * h]))
             z, r = gates[:, :h], gates[:, h:]
             new = np.tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
-            if trace is not None:
-                trace.append((t, state, z, r, new, b[:, 2 * h :]))
+            trace.append((t, state, z, r, new, b[:, 2 * h :]))
             state = new + z * (state - new)
             out[t] = state
         return out
 
-    def labels(self, x: np.ndarray) -> np.ndarray:
-        """Distributions at every position; (time, rows, languages)."""
-        logits = np.concatenate([self.run(x, "f"), self.run(x, "b")], axis=2) @ self.p["out"] + self.p["bias"]
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return e / e.sum(axis=2, keepdims=True)
-
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy of all positions' labels, and its gradient by
         backpropagation through time."""
@@ -100,114 +169,76 @@ class ByteGRU:
         prob[:, rows, y] -= 1
         prob /= n * len(x)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["out"] = np.einsum("tbh,tbl->hl", states, prob)
+        g["out"] = states.reshape(-1, 2 * h).T @ prob.reshape(-1, prob.shape[2])
         g["bias"] = prob.sum(axis=(0, 1))
         back = prob @ p["out"].T
         for k, way in enumerate("fb"):
-            into = np.zeros((256, 3 * h), np.float32)
-            carry = np.zeros((len(x), h), np.float32)
+            da_all = np.empty((n, len(x), 3 * h), back.dtype)
+            carry = np.zeros((len(x), h), back.dtype)
             for t, before, z, r, new, bn in reversed(traces[way]):
                 d = back[t, :, k * h : (k + 1) * h] + carry
                 dn = d * (1 - z) * (1 - new**2)
                 dz = d * (before - new) * z * (1 - z)
                 dr = dn * bn * r * (1 - r)
-                da = np.concatenate([dz, dr, dn], axis=1)
                 db = np.concatenate([dz, dr, dn * r], axis=1)
+                da_all[t, :, : 2 * h], da_all[t, :, 2 * h :] = db[:, : 2 * h], dn
                 g["u" + way] += before.T @ db
                 carry = d * z + db @ p["u" + way].T
-                np.add.at(into, x[:, t], da)
+            into = np.zeros((256, 3 * h), back.dtype)
+            np.add.at(into, x.T.reshape(-1), da_all.reshape(x.size, -1))
             g["b" + way] += into.sum(axis=0)
             g["w" + way] += p["embed"].T @ into
             g["embed"] += into @ p["w" + way].T
         return float(loss), g
 
 
-def train_network(words: list[tuple[str, str]], seed: int = 0) -> ByteGRU:
-    """Fits to (word, language) pairs, in batches of equally long words."""
-    langs = sorted({lang for _, lang in words})
+def windows(n: int) -> list[tuple[int, int]]:
+    """The runs of bytes that a text of n bytes is labelled in."""
+    if n <= WINDOW + 2 * CONTEXT:
+        return [(0, n)]
+    parts = -(-n // WINDOW)
+    edges = [n * k // parts for k in range(parts + 1)]
+    return list(zip(edges, edges[1:]))
+
+
+def train_network(texts: list[tuple[str, str]], seed: int = 0) -> ByteGRU:
+    """Fits to sequences cut from (text, language) pairs at random places."""
+    langs = sorted({lang for _, lang in texts})
     net, r = ByteGRU.fresh(langs, seed), np.random.default_rng(seed)
-    by_length: dict[int, list[tuple[bytes, int]]] = {}
-    for word, lang in words:
-        for piece in pieces(word):
-            by_length.setdefault(len(piece), []).append((piece, langs.index(lang)))
-    data = {n: (np.frombuffer(b"".join(w for w, _ in v), np.uint8).reshape(-1, n), np.array([y for _, y in v])) for n, v in by_length.items()}
-    m, v, k = {n: np.zeros_like(x) for n, x in net.p.items()}, {n: np.zeros_like(x) for n, x in net.p.items()}, 0
-    for epoch in range(EPOCHS):
-        batches = []
-        for n, (x, _) in data.items():
-            order = r.permutation(len(x))
-            batches += [(n, order[i : i + BATCH]) for i in range(0, len(x), BATCH)]
+    raw = {lang: [t.lower().encode("utf-8", "replace") for t, own in texts if own == lang] for lang in langs}
+    lens = {lang: np.array([len(t) for t in raw[lang]]) for lang in langs}
+
+    def cut(lang: str, n: int) -> bytes:
+        t = raw[lang][r.choice(len(raw[lang]), p=lens[lang] / lens[lang].sum())]
+        a = r.integers(0, max(1, len(t) - n + 1))
+        return (t[a : a + n] + b" " * n)[:n]
+
+    batches = []
+    each = max(1, BATCH // len(langs))
+    for k in range(-(-SAMPLE_CUTS // each)):
+        n = LENGTHS[k % len(LENGTHS)]
+        rows = [(cut(lang, n), i) for i, lang in enumerate(langs) for _ in range(each)]
+        x, y = np.frombuffer(b"".join(w for w, _ in rows), np.uint8).reshape(-1, n), np.array([i for _, i in rows])
+        order = r.permutation(len(rows))
+        batches += [(x[order[j : j + BATCH]], y[order[j : j + BATCH]]) for j in range(0, len(rows), BATCH)]
+    m, v, k, steps = {n: np.zeros_like(x) for n, x in net.p.items()}, {n: np.zeros_like(x) for n, x in net.p.items()}, 0, EPOCHS * len(batches)
+    for _ in range(EPOCHS):
         for b in r.permutation(len(batches)):
-            n, rows = batches[b]
-            _, g = net.gradient(data[n][0][rows], data[n][1][rows])
+            _, g = net.gradient(*batches[b])
             k += 1
-            rate = STEP * (1 - epoch / EPOCHS) * min(1.0, len(rows) / 32)
+            norm = np.sqrt(sum(float((x**2).sum()) for x in g.values()))
+            rate, scale = STEP * (1 - 0.95 * k / steps), min(1.0, 1.0 / (norm + 1e-9))
             for name in net.p:
-                m[name] = 0.9 * m[name] + 0.1 * g[name]
-                v[name] = 0.99 * v[name] + 0.01 * g[name] ** 2
+                m[name] = 0.9 * m[name] + 0.1 * g[name] * scale
+                v[name] = 0.99 * v[name] + 0.01 * (g[name] * scale) ** 2
                 net.p[name] -= (rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
     return ByteGRU(langs, net.p)
 
 
-def pieces(word: str) -> list[bytes]:
-    """A word's bytes between blanks, cut into runs of at most ``PIECE``."""
-    raw = word.encode("utf-8", "replace")
-    return [b" " + raw[i : i + PIECE] + b" " for i in range(0, len(raw), PIECE)]
-
-
-class Memo:
-    """Sums of the distributions over a word's letter bytes, and their number."""
-
-    def __init__(self, net: ByteGRU):
-        self.net = net
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.net.langs) + 1), np.float32)
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.rows) + len(words) > MEMO_WORDS:
-            self.clear()
-        start = len(self.rows)
-        self.rows.update(zip(words, range(start, start + len(words))))
-        if start + len(words) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(words)), self.table.shape[1]), np.float32)])
-        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
-        for i, word in enumerate(words, start):
-            for piece in pieces(word):
-                at, raw = by_length.setdefault(len(piece), ([], []))
-                at.append(i)
-                raw.append(piece)
-        for n, (at, raw) in by_length.items():
-            for k in range(0, len(at), 2048):
-                x = np.frombuffer(b"".join(raw[k : k + 2048]), np.uint8).reshape(-1, n)
-                weight = _LETTER_BYTE[x]
-                got = np.einsum("tbl,bt->bl", self.net.labels(x), weight)
-                np.add.at(self.table, at[k : k + 2048], np.concatenate([got, weight.sum(axis=1, keepdims=True)], axis=1))
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        words = [t.lower().split() if t and _LETTER.search(t) else [] for t in texts]
-        unknown = set().union(*words).difference(self.rows)
-        if len(unknown) + len(self.rows) > MEMO_WORDS:
-            self.clear()
-            unknown = set().union(*words)
-        self.learn(sorted(unknown))
-        out = []
-        for w in words:
-            if not w:
-                out.append(("und", 0.0))
-                continue
-            total = self.table[list(map(self.rows.__getitem__, w))].sum(axis=0, dtype=np.float64)
-            best = int(total[:-1].argmax())
-            out.append((self.net.langs[best], min(1.0, float(total[best] / total[-1]))) if total[-1] else ("und", 0.0))
-        return out
-
-
-def memo_of(langs: list[str], p: dict[str, np.ndarray]) -> Memo:
+def network_of(langs: list[str], p: dict[str, np.ndarray]) -> ByteGRU:
     """One per Python worker and network."""
     net = ByteGRU(langs, p)
-    return scratch.worker_memo(("langid", net.key), lambda: Memo(net))
+    return scratch.worker_memo(("langid", net.key), lambda: net)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -215,27 +246,32 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> ByteGRU | None:
-    """Fits to the bounded sample; None if there is nothing to learn from."""
+    """Fits to the bounded sample; None if there is nothing to learn from. Two
+    scans: the labels' counts, and the sample itself."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    usable = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("id").isNotNull())
-    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_DOCS // 8).collect()
+    usable = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("id").isNotNull() & F.col("text").isNotNull())
+    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not langs:
         return None
-    each = min(1000, max(8, SAMPLE_DOCS // len(langs)))
+    each = max(8, SAMPLE_DOCS // max(4, len(langs)))
     # Hashes below a share of their range that holds enough of the language: what
     # comes to the driver is bounded, and nothing is ranked by a shuffle.
-    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(2**53))
-    share = F.create_map(*(F.lit(x) for r in langs for x in (r.lang, (2 * each + 50) / r["count"])))
-    drawn = usable.select("id", "lang", place.alias("place")).where(F.col("place") < F.element_at(share, F.col("lang"))).distinct().collect()
-    ids: list[int] = []
+    unit = lambda *salt: F.shiftrightunsigned(F.xxhash64("id", *map(F.lit, salt)), 11) / F.lit(float(2**53))
+    share = F.create_map(*(F.lit(x) for r in langs for x in (r.lang, (1.3 * each + 30) / r["count"])))
+    start = F.floor(unit("stretch") * F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    drawn = usable.select("id", "lang", unit().alias("place"), "text").where(F.col("place") < F.element_at(share, F.col("lang")))
+    drawn = drawn.select("lang", "place", F.col("id").cast("string").alias("id"), F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    fit, rest = [], []
     for r in langs:
-        ids += [x.id for x in sorted((x for x in drawn if x.lang == r.lang), key=lambda x: (x.place, x.id))[:each]]
-    sample = usable.where(F.col("id").isin(ids) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text").sort("lang", "id").limit(len(ids)).collect()
-    r, words = np.random.default_rng(seed), []
-    for lang in sorted({x.lang for x in sample}):
-        own = [w for x in sample if x.lang == lang for w in x.text.lower().split() if _LETTER.search(w)]
-        words += [(own[i], lang) for i in r.permutation(len(own))[:SAMPLE_WORDS]]
-    return train_network(words, seed) if words else None
+        own = sorted({(x.place, x.id, x.text) for x in drawn if x.lang == r.lang and _LETTER.search(x.text)})[:each]
+        rest += [(t, r.lang) for _, _, t in own[4::5]]
+        fit += [(t, r.lang) for k, (_, _, t) in enumerate(own) if k % 5 != 4]
+    if not fit:
+        return None
+    net = train_network(fit, seed)
+    chance = 1 / len(net.langs)
+    lowest = min((s for _, s in net.predict([t for t, _ in rest])), default=chance)
+    return ByteGRU(net.langs, net.p, 0.99 * (0.75 * chance + 0.25 * lowest))
 
 
 def identify(docs: DataFrame, net: ByteGRU | None, text_col: str = "text") -> DataFrame:
@@ -248,23 +284,26 @@ def identify(docs: DataFrame, net: ByteGRU | None, text_col: str = "text") -> Da
     langs, p = net.langs, net.p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = memo_of(langs, p)
+        net = network_of(langs, p)
         for batch in batches:
             size = pa.compute.utf8_length(batch.column(1)).fill_null(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // CHUNK_CHARS)) + 1), batch.num_rows]
             found = []
             for a, b in zip(cuts, cuts[1:]):
-                found += memo.predict(batch.column(1).slice(a, b - a).to_pylist())
+                found += net.predict(batch.column(1).slice(a, b - a).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["own", "lang_pred", "score"])
 
     kind = rows.schema["own"].dataType.simpleString()
     return rows.mapInArrow(run, f"own {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: ByteGRU | None, least: float = 0.0, **cols: str) -> DataFrame:
-    """The documents that have a language, with all their columns."""
-    found = identify(docs, net, **cols)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("own.*")
+def keep_identified(docs: DataFrame, net: ByteGRU | None, least: float | None = None, text_col: str = "text") -> DataFrame:
+    """The documents that have a language, with all their columns; ``least`` stands
+    in for the network's own threshold."""
+    if net is None:
+        return docs.where(F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
+    found = identify(docs, net, text_col)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= (net.least if least is None else least))).select("own.*")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

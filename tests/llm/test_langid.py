@@ -45,14 +45,47 @@ def test_held_out_accuracy(spark, docs, net):
     assert np.mean(judged) >= 0.97
 
 
-def test_memo_of_any_size_gives_the_same(docs, net, monkeypatch):
-    texts = [r.text for r in docs.limit(60).collect()]
-    whole = langid.Memo(net).predict(texts)
-    monkeypatch.setattr(langid, "MEMO_WORDS", 500)
-    small = langid.Memo(net)
-    for t, (lang, score) in zip(texts, whole):
-        got = small.predict([t])[0]
-        assert got[0] == lang and got[1] == pytest.approx(score, abs=1e-5)
+def plain(net, text):
+    """Letter bytes' distributions of a whole text by one plain recurrence per direction."""
+    x = np.frombuffer(text.lower().encode(), np.uint8)
+    states = []
+    for way in "fb":
+        table, u, h, s, own = net.p["embed"] @ net.p["w" + way] + net.p["b" + way], net.p["u" + way], langid.HIDDEN, np.zeros(langid.HIDDEN), []
+        for c in x if way == "f" else x[::-1]:
+            a, b = table[c], s @ u
+            z, r = (1 / (1 + np.exp(-(a[k * h : k * h + h] + b[k * h : k * h + h]))) for k in (0, 1))
+            s = (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :]) + z * s
+            own.append(s)
+        states.append(own if way == "f" else own[::-1])
+    logits = np.concatenate(states, axis=1) @ net.p["out"] + net.p["bias"]
+    e = np.exp(logits - logits.max(axis=1, keepdims=True))
+    letter = np.array([bytes([c]).isalpha() or c >= 128 for c in x])
+    return (e / e.sum(axis=1, keepdims=True))[letter].sum(axis=0), letter.sum()
+
+
+def test_reads_whole_texts_like_a_plain_recurrence(docs, net):
+    texts = [t for t in (r.text for r in docs.limit(60).collect()) if t]
+    got = net.sums([t.lower().encode() for t in texts])
+    for t, row in zip(texts, got):
+        want, n = plain(net, t)
+        assert row[-1] == n and np.abs(row[:-1] - want).max() <= (0.002 if len(t.encode()) > langid.WINDOW else 1e-4) * max(n, 1)
+
+
+def test_windows_label_every_byte_once(docs, net, monkeypatch):
+    texts = [" ".join(r.text for r in docs.where(f"lang = '{lang}'").limit(12).collect()).lower().encode() for lang in ("en", "fr")]
+    got = net.sums([*texts, b"", b"a"])
+    assert [int(n) for n in got[:, -1]] == [sum(c >= 128 or bytes([c]).isalpha() for c in t) for t in texts] + [0, 1]
+    monkeypatch.setattr(langid, "WINDOW", 10**9)
+    whole = net.sums(texts)
+    assert (np.abs(got[:2] - whole).max(axis=1) <= 0.02 * whole[:, -1]).all()
+
+
+def test_threshold_rejects_what_no_language_fits(documents, net):
+    assert 1 / len(net.langs) * 0.9 < net.least < 0.5
+    rows = [(1, "the"), (2, "12 34"), (3, None)]
+    assert [r.doc_id for r in langid.keep_identified(documents(rows), net).collect()] == [1]
+    assert langid.keep_identified(documents(rows), net, least=1.1).count() == 0
+    assert [r.doc_id for r in langid.keep_identified(documents(rows), None).collect()] == [1]
 
 
 def test_no_letter_and_long_texts(documents, net):
