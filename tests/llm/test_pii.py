@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import pii
 
@@ -60,15 +61,86 @@ def test_query(spark):
         assert set(listed.split(",")) <= set(r.spans.split(",")) | {""}
 
 
-def test_held_out_proposals(spark, documents, model):
+def spans_of(row):
+    return [(s.start, s.end, s.kind) for s in [*row.fixed, *row.more]]
+
+
+def test_held_out_recall(spark, documents, model):
+    """On texts that the trees haven't seen: at least 0.9 of the planted spans are
+    found, 0.95 of the selected ones are planted."""
     made = pii.training_texts(400, seed=99)
     df = pii.find_pii(documents([(i, t) for i, (t, _) in enumerate(made)]), model)
-    hit = right = 0
-    for r in df.select("doc_id", "more").collect():
-        for s in r.more:
-            right += any(min(b, s.end) - max(a, s.start) >= 0.8 * max(b - a, s.end - s.start) for a, b in made[r.doc_id][1])
-            hit += 1
-    assert right >= 0.93 * hit and right >= 0.75 * sum(len(s) for _, s in made)
+    like = lambda a, b, x, y: min(b, y) - max(a, x) >= 0.8 * max(b - a, y - x)
+    hit = right = found = total = 0
+    for r in df.select("doc_id", "fixed", "more").collect():
+        truth = made[r.doc_id][1]
+        right += sum(any(like(a, b, s.start, s.end) for a, b in truth) for s in r.more)
+        hit += len(r.more)
+        found += sum(any(like(a, b, x, y) for x, y, _ in spans_of(r)) for a, b in truth)
+        total += len(truth)
+    assert right >= 0.95 * hit and found >= 0.9 * total and hit > 100
+
+
+def test_thresholds_bind(model):
+    assert len(set(model.thresholds.values())) > 1 and any(t > 0.1 for t in model.thresholds.values())
+
+
+def test_secrets_and_numbers_that_the_base_runs_past(documents, model):
+    rows = [(1, 'Edti treaux token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" elle'), (2, "Une aiépa un. +1 (843) 555-7672 170.106.47.218 Et,"), (3, "host 170.106.47.218 and 10.0.0.1"), (4, "une heitverbereinstimmungskeit 2669109448945250 von")]
+    got = {r.doc_id: [(r.text[a:b], pii.KINDS[k]) for a, b, k in sorted(spans_of(r))] for r in pii.find_pii(documents(rows), model).collect()}
+    assert got[1] == [("f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "secret")]
+    assert got[2] == [("+1 (843) 555-7672", "phone_more"), ("170.106.47.218", "ip")]
+    assert [k for _, k in got[3]] == ["ip", "ip"] and not [k for _, k in got[4] if k in pii.MORE]
+
+
+def test_secrets_of_the_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = 0
+    for r in pii.op5_pii(spark, sf).collect():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x]
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', docs[r.doc_id]):
+            seen += 1
+            assert any(a <= m.start(1) and m.end(1) <= b for a, b in spans)
+        assert r.n_spans == len(spans)
+    assert seen > 3
+
+
+def test_many_matches_cost_near_linear_time(spark, documents, model):
+    import time
+
+    took = []
+    for n in (1000, 1000, 8000):  # the first run compiles
+        began = time.time()
+        found = pii.find_pii(documents([(1, "1.2.3.4 " * n), (2, "call 555-123-4567 " * n)]), model).select(F.size("fixed"), F.size("more")).sort("doc_id").collect()
+        took.append(time.time() - began)
+        assert [tuple(r) for r in found] == [(n, 0), (0, n)]
+    assert took[2] < 8 * took[1] + 8
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 3, 9, 10, 100, 101, 1000)]
+    for xs, got in spark.createDataFrame(rows, "xs array<int>").select("xs", F.expr(pii.running("xs"))).collect():
+        assert got == [sum(xs[: i + 1]) for i in range(len(xs))]
+
+
+def test_selection_equals_brute_force(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        base = []
+        for _ in range(2):
+            edges = sorted(r.sample(range(80), 8))
+            base.append([(a, b, "") for a, b in zip(edges[::2], edges[1::2])])
+        rows.append((i, *base, [(a, a + r.randint(1, 12), r.randint(4, 8), r.choice([0.3, 0.5, 0.9])) for a in (r.randrange(80) for _ in range(r.randint(0, 12)))]))
+    span = "array<struct<start:int,end:int,m:string>>"
+    df = spark.createDataFrame(rows, f"i int, a {span}, b {span}, s array<struct<start:int,end:int,kind:int,p:double>>")
+    meets = lambda x, y: x[0] < y[1] and y[0] < x[1]
+    rank = lambda s: (s[3], s[1] - s[0], -s[0], -s[2])
+    for i, got in df.select("i", pii.select(["a", "b"], "s")).collect():
+        _, a, b, s = rows[i]
+        want = [x for x in s if not any(meets(x, y) for y in a + b) and not any(meets(x, y) and rank(y) > rank(x) for y in s)]
+        assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_redaction(documents, model):
