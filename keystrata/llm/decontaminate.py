@@ -3,10 +3,11 @@
 A mask such as 11101011 is laid over every run of words; the words under its
 ones are hashed, those under its zeros are ignored, so a hit survives a
 substitution there. Hashes of documents and of benchmark items meet in one equi
-join. Each hit is verified where it is found, with the words around it: it is
-extended to both sides, a match scoring 1 and a substitution -3, as long as the
-score stays within 6 of the best. An overlap counts if at least 12 words (or the
-whole item, if shorter) match and at least 80 % of its length does.
+join. A hit names a diagonal (an item laid over a document at one shift); hits
+that go on where another one of the same mask stands a word before are dropped,
+and the rest are verified where they are found. On the diagonal, the best-scoring
+stretch is taken, a match scoring 1 and a substitution -3. It counts if at least 12
+of its words (or the whole item, if shorter) match and at least 80 % of its length.
 
 With ``whole_items``, as the query and the pipeline have it, an item of any length
 also counts if it lies in a document without shifts and at least 80 % of all its
@@ -14,14 +15,19 @@ words match. At n words, of which s may differ, it is cut into s + 1 parts of 2
 5 words; one of them is intact, so the parts' hashes as seeds miss no such place.
 
 Words are runs of letters and digits, lower-cased. Items shorter than a mask are
-looked for as a whole. The item side is broadcast only behind a count of its
-seeds; beyond that Spark joins by shuffle.
+looked for as a whole; items of under ``MIN_ITEM`` words are everyday phrases and
+count only where they are a document's whole text.
+
+The item side is always broadcast and bounded: beyond ``BROADCAST_SEEDS`` seeds the
+items are dealt into blocks by hash, each of which passes over the documents.
 
 Defined results
     null or empty text: no words, no overlap; likewise items. null id: kept as
     null in the result and handled null-safe by ``decontaminate``. Repeated
     documents or items: one result row per pair of ids. Empty tables: no rows.
-    Extra columns stay with ``decontaminate`` and are not read.
+    Of several places of a pair, the one with the most matched words, then the
+    first, then the longest is returned. Extra columns stay with ``decontaminate``
+    and are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +41,8 @@ MASKS = ("11101011", "1101100011", "110001010101")
 MIN_MATCHED = 12
 MIN_IDENTITY = 0.8
 MISMATCH = 3
-DROP = 6
-#: Seeds (24 bytes each) and words of items up to which they are broadcast.
+MIN_ITEM = 5
+#: Seeds (40 bytes each) that are broadcast at once.
 BROADCAST_SEEDS = 1_000_000
 BROADCAST_IDS = 1_000_000
 
@@ -54,10 +60,11 @@ def _seed(mask: str, tokens: str, at: str) -> str:
 
 
 def _seeds(rows: DataFrame, masks: list[str], *carried: str) -> DataFrame:
-    """One row per position and mask: ``carried``, at, seed. Two explodes and
-    plain expressions, all within one stage of generated code."""
+    """One row per position and mask: ``carried``, w, at, mask (its number), seed.
+    Two explodes and plain expressions, all within one stage of generated code."""
     placed = rows.select(*carried, "w", F.posexplode("w").alias("at", "_"))
-    return placed.select(*carried, "w", "at", F.explode(F.array(*(F.expr(_seed(m, "w", "at")) for m in masks))).alias("seed")).where("seed IS NOT NULL")
+    made = F.posexplode(F.array(*(F.expr(_seed(m, "w", "at")) for m in masks))).alias("mask", "seed")
+    return placed.select(*carried, "w", "at", made).where("seed IS NOT NULL")
 
 
 def _part_seeds(items: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -75,31 +82,55 @@ def _part_seeds(items: DataFrame) -> tuple[DataFrame, list[str]]:
     return seeds, masks
 
 
-def _extend(same: Column) -> Column:
-    """struct(length, matched) of the best stretch from the start of ``same``."""
-    start = F.struct(F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("n"), F.lit(0).alias("hits"), F.lit(0).alias("len"), F.lit(0).alias("matched"))
+def _best_stretch(same: Column) -> Column:
+    """struct(best, len, matched, end): the stretch of the highest score, the first
+    of several; ``end`` counts from the start of ``same``."""
+    start = F.struct(*(F.lit(0).alias(c) for c in ("score", "n", "hits", "i", "best", "len", "matched", "end")))
 
     def step(s: Column, ok: Column) -> Column:
-        dead = s["best"] - s["score"] > DROP
-        score, hits = s["score"] + F.when(ok, 1).otherwise(-MISMATCH), s["hits"] + ok.cast("int")
+        goes_on = s["score"] > 0
+        score = F.when(goes_on, s["score"]).otherwise(0) + F.when(ok, 1).otherwise(-MISMATCH)
+        n, hits, i = F.when(goes_on, s["n"]).otherwise(0) + 1, F.when(goes_on, s["hits"]).otherwise(0) + ok.cast("int"), s["i"] + 1
         better = score > s["best"]
-        return F.when(dead, s).otherwise(
-            F.struct(
-                score.alias("score"),
-                F.when(better, score).otherwise(s["best"]).alias("best"),
-                (s["n"] + 1).alias("n"),
-                hits.alias("hits"),
-                F.when(better, s["n"] + 1).otherwise(s["len"]).alias("len"),
-                F.when(better, hits).otherwise(s["matched"]).alias("matched"),
-            )
-        )
+        kept = {"best": score, "len": n, "matched": hits, "end": i}
+        return F.struct(score.alias("score"), n.alias("n"), hits.alias("hits"), i.alias("i"), *(F.when(better, v).otherwise(s[k]).alias(k) for k, v in kept.items()))
 
     return F.aggregate(same, start, step)
 
 
+def _verified(rows: DataFrame, seeds: DataFrame, listed: DataFrame, masks: list[str], whole_items: bool) -> DataFrame:
+    """doc_id, item_id, matched, start, length of all good diagonals of one block."""
+    hits = _seeds(rows, masks, "doc_id").join(F.broadcast(seeds), "seed").select("doc_id", "w", "at", "mask", "item", "item_at", "part")
+    hits = hits.join(F.broadcast(listed), "item").withColumn("diagonal", F.col("at") - F.col("item_at"))
+    # The same mask fits a word before: that hit stands for this one.
+    before = F.lit(False)
+    for k, m in enumerate(masks):
+        fits = F.expr(" AND ".join(f"get(w, at - 1 + {i}) <=> get(iw, item_at - 1 + {i})" for i, bit in enumerate(m) if bit == "1"))
+        before = F.when(F.col("mask") == k, fits).otherwise(before)
+    # Seeds of parts and of short items stand at one place of the item only.
+    runs = F.col("mask") >= len(MASKS)
+    hits = hits.where(runs | (F.col("at") == 0) | (F.col("item_at") == 0) | ~before)
+    hits = hits.where((F.size("iw") >= MIN_ITEM) | ((F.size("iw") == F.size("w")) & (F.col("diagonal") == 0)))
+    low, high = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("iw"), F.size("w") - F.col("diagonal"))
+    hits = hits.select(
+        "doc_id", "item_id", "part", (low + F.col("diagonal")).alias("from"), F.size("iw").alias("n_item"),
+        F.zip_with(F.slice("w", low + F.col("diagonal") + 1, high - low), F.slice("iw", low + 1, high - low), lambda x, y: x == y).alias("same"),
+    )
+    hits = hits.withColumn("all", F.size(F.filter("same", lambda x: x)))
+    whole = (F.col("all") >= F.col("n_item") * MIN_IDENTITY) & F.lit(whole_items)
+    hits = hits.withColumn("whole", whole).where("whole OR NOT part").withColumn("s", F.when(~F.col("whole"), _best_stretch(F.col("same"))))
+    hits = hits.select(
+        "doc_id", "item_id", "n_item", "whole",
+        F.when(F.col("whole"), F.col("from")).otherwise(F.col("from") + F.col("s.end") - F.col("s.len")).alias("start"),
+        F.when(F.col("whole"), F.col("all")).otherwise(F.col("s.matched")).alias("matched"),
+        F.when(F.col("whole"), F.size("same")).otherwise(F.col("s.len")).alias("length"),
+    )
+    return hits.where(F.col("whole") | ((F.col("matched") >= F.least(F.lit(MIN_MATCHED), F.col("n_item"))) & (F.col("matched") >= F.col("length") * MIN_IDENTITY)))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", whole_items: bool = False) -> DataFrame:
     """doc_id, item_id, matched words, length and start (word index in the
-    document) of the longest verified overlap of each pair; ``whole_items`` judges
+    document) of the best verified overlap of each pair; ``whole_items`` judges
     whole items too, beside the stretches."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(item_text)).alias("w")).where("size(w) > 0").distinct()
@@ -116,35 +147,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         parts, runs = _part_seeds(items)
         seeds = seeds.unionByName(parts.withColumn("part", F.lit(True)))
         masks += [m for m in runs if m not in masks]
-    seeds = scratch.written(seeds, "seeds")
-    near = F.broadcast if seeds.count() <= BROADCAST_SEEDS else (lambda df: df)
+    # A part that is a seed anyway counts once, as that.
+    seeds = scratch.written(seeds.groupBy("item", "item_at", "seed").agg(F.min("part").alias("part")), "seeds")
+    blocks = -(-2 * seeds.count() // BROADCAST_SEEDS) if seeds.count() > BROADCAST_SEEDS else 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))
-    hits = _seeds(rows, masks, "doc_id").join(near(seeds), "seed").select("doc_id", "w", "at", "item", "item_at", "part")
     listed = items.select("item", "item_id", F.col("w").alias("iw"))
-    hits = hits.join(near(listed), "item").withColumn("diagonal", F.col("at") - F.col("item_at"))
-    low, high = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("iw"), F.size("w") - F.col("diagonal"))
-    hits = hits.select(
-        "doc_id", "item_id", "at", "part", (F.col("item_at") - low).alias("k"), F.size("iw").alias("n_item"),
-        F.slice("w", low + F.col("diagonal") + 1, high - low).alias("a"), F.slice("iw", low + 1, high - low).alias("b"),
-    )
-    hits = hits.withColumn("same", F.zip_with("a", "b", lambda x, y: x == y))
-    if whole_items:
-        hits = hits.withColumn("all", F.size(F.filter("same", lambda x: x)))
-        hits = hits.withColumn("whole", F.col("all") >= F.col("n_item") * MIN_IDENTITY).where("whole OR NOT part")
-    right = _extend(F.slice("same", F.col("k") + 1, F.greatest(F.size("same") - F.col("k"), F.lit(0))))
-    left = _extend(F.reverse(F.slice("same", F.lit(1), F.col("k"))))
-    whole = [F.col(c) for c in ("k", "whole", "all")] + [F.size("same").alias("n_same")] if whole_items else []
-    ends = hits.select("doc_id", "item_id", "at", "n_item", *whole, right.alias("r"), left.alias("l"))
-    stretch = F.struct((F.col("at") - F.col("l.len")).alias("start"), (F.col("r.matched") + F.col("l.matched")).alias("matched"), (F.col("r.len") + F.col("l.len")).alias("length"))
-    # A whole item holds each stretch on its diagonal.
-    found = F.when(F.col("whole"), F.struct((F.col("at") - F.col("k")).alias("start"), F.col("all").alias("matched"), F.col("n_same").alias("length"))).otherwise(stretch) if whole_items else stretch
-    ends = ends.select("doc_id", "item_id", "n_item", F.col("whole") if whole_items else F.lit(False).alias("whole"), found.alias("found")).select("doc_id", "item_id", "n_item", "whole", "found.*")
-    good = ends.where(F.col("whole") | ((F.col("matched") >= F.least(F.lit(MIN_MATCHED), F.col("n_item"))) & (F.col("matched") >= F.col("length") * MIN_IDENTITY)))
-    # The longest, and of these the first, as one number: the sums stay hashed.
-    rank = F.col("matched").cast("long") * F.lit(2**31) - F.col("start")
-    best = good.groupBy("doc_id", "item_id").agg(F.max(rank).alias("rank"), F.max("length").alias("length"))
-    matched = F.ceil(F.col("rank") / F.lit(float(2**31))).cast("long")
-    return best.select("doc_id", "item_id", matched.alias("matched"), F.col("length").cast("long").alias("length"), (matched * F.lit(2**31) - F.col("rank")).alias("start"))
+    found = None
+    for b in range(blocks):
+        mine = lambda df: df.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else df  # noqa: B023, E731
+        part = _verified(rows, mine(seeds), mine(listed), masks, whole_items)
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("start")).alias("first"), "length")).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.length").cast("long").alias("length"), (-F.col("best.first")).cast("long").alias("start"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", whole_items: bool = False, **cols: str) -> DataFrame:

@@ -10,35 +10,51 @@ def words_of(text):
     return [w for w in re.split(r"[^\w]+|_+", (text or "").lower()) if w]
 
 
-def brute(docs, items):
-    """Pairs for which some alignment of an item with a document has a stretch of
-    enough equal words: every alignment and every seed of each is tried."""
-    found = set()
+def best_stretch(same):
+    """(score, length, matched, end) of the first stretch of the highest score."""
+    best = (0, 0, 0, 0)
+    for i in range(len(same)):
+        score = hits = 0
+        for j in range(i, len(same)):
+            score, hits = score + (1 if same[j] else -D.MISMATCH), hits + same[j]
+            if score > best[0] or score == best[0] > 0 and j + 1 == best[3] and j + 1 - i < best[1]:
+                best = (score, j + 1 - i, hits, j + 1)
+    return best
+
+
+def brute(docs, items, whole_items=False, seeded=True):
+    """{(doc, item): (matched, length, start)}: every alignment of every pair, by
+    comparing all words. ``seeded`` leaves out alignments on which no mask fits."""
+    found = {}
     for d, text in docs:
         w = words_of(text)
         for i, item in items:
             b = words_of(item)
-            masks = [*D.MASKS, *(["1" * len(b)] if b and len(b) < max(map(len, D.MASKS)) else [])]
+            if not b:
+                continue
+            masks = [*D.MASKS, *(["1" * len(b)] if len(b) < max(map(len, D.MASKS)) else [])]
             for shift in range(-len(b) + 1, len(w)):
-                same = [0 <= shift + k < len(w) and w[shift + k] == x for k, x in enumerate(b)]
                 low, high = max(0, -shift), min(len(b), len(w) - shift)
-                for at in range(low, high):
-                    if any(at + len(m) <= high and all(same[at + k] for k, c in enumerate(m) if c == "1") for m in masks):
-                        n, hits = 0, 0
-                        for part in (same[at:high], same[low:at][::-1]):
-                            score = best = got = own = matched = 0
-                            for k, ok in enumerate(part, 1):
-                                if best - score > D.DROP:
-                                    break
-                                score, own = score + (1 if ok else -D.MISMATCH), own + ok
-                                if score > best:
-                                    best, got, matched = score, k, own
-                            n, hits = n + got, hits + matched
-                        if hits >= min(D.MIN_MATCHED, len(b)) and hits >= D.MIN_IDENTITY * n:
-                            found.add((d, i))
+                same = [w[shift + k] == b[k] for k in range(low, high)]
+                if len(b) < D.MIN_ITEM and (shift or len(b) != len(w)) or sum(same) < min(len(b), 12) * 0.8:
+                    continue
+                whole = whole_items and sum(same) >= len(b) * D.MIN_IDENTITY
+                if seeded and not whole and not any(all(same[at + k] for k, c in enumerate(m) if c == "1") for m in masks for at in range(len(same) - len(m) + 1)):
+                    continue
+                score, n, matched, end = best_stretch(same)
+                got = (sum(same), len(same), low + shift) if whole else (matched, n, low + shift + end - n)
+                if whole or got[0] >= min(D.MIN_MATCHED, len(b)) and got[0] >= D.MIN_IDENTITY * got[1]:
+                    key = lambda g: (g[0], -g[2], g[1])
+                    found[d, i] = max(found.get((d, i), got), got, key=key)
     return found
 
 
+def as_dict(rows):
+    out = {(r.doc_id, r.item_id): (r.matched, r.length, r.start) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
 @pytest.fixture(scope="module")
 def case():
     r = random.Random(5)
@@ -56,22 +72,57 @@ def case():
     return docs, items
 
 
-def test_equals_brute_force(spark, documents, case):
+@pytest.mark.parametrize("whole_items", [False, True])
+def test_equals_brute_force(spark, documents, case, whole_items):
     docs, items = case
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = D.overlaps(documents(docs, clash=True), bench).collect()
-    assert len(found) == len({(r.doc_id, r.item_id) for r in found})
-    assert {(r.doc_id, r.item_id) for r in found} == brute(docs, items)
-    assert {(200 + i, i) for i in range(6)} <= {(r.doc_id, r.item_id) for r in found}
-    assert {(300 + i, i) for i in (4, 5)} <= {(r.doc_id, r.item_id) for r in found}
+    found = as_dict(D.overlaps(documents(docs, clash=True), bench, whole_items=whole_items).collect())
+    assert found == brute(docs, items, whole_items)
+    assert {(200 + i, i) for i in range(1, 6)} | {(300 + i, i) for i in (4, 5)} <= set(found)
+
+
+def test_recall_over_all_alignments(spark, documents):
+    """Stretches of items with random substitutions, against every alignment
+    without any seed: at least 0.95 of the overlaps are found, none besides."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(r.choice([15, 25, 40, 60])))) for i in range(12)]
+    docs = []
+    for _ in range(250):
+        w = words_of(r.choice(items)[1])
+        n = r.randint(10, len(w))
+        a = r.randint(0, len(w) - n)
+        rate = r.choice([0, 0.05, 0.1, 0.15, 0.2])
+        part = [word() if r.random() < rate else x for x in w[a : a + n]]
+        docs.append((len(docs), " ".join([word() for _ in range(r.randint(0, 8))] + part + [word() for _ in range(5)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for whole_items in (False, True):
+        want = brute(docs, items, whole_items, seeded=False)
+        got = as_dict(D.overlaps(documents(docs), bench, whole_items=whole_items).collect())
+        assert set(got) <= set(want) and len(want) > 100
+        assert len(got) >= 0.95 * len(want)
+        assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
+
+
+def test_length_is_that_of_the_best_place(spark, documents):
+    item = [f"w{i}" for i in range(20)]
+    text = [*item[:16], *"a b c d e f".split(), *item[:5], "x", *item[6:11], "y", *item[12:17]]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert as_dict(D.overlaps(documents([(1, " ".join(text))]), bench).collect()) == {(1, 1): (16, 16, 0)}
+
+
+def test_short_items_count_as_whole_documents_only(spark, documents):
+    bench = spark.createDataFrame([(1, "the"), (2, "one two three")], "item_id long, text string")
+    found = D.overlaps(documents([(1, "the cat"), (2, "The!"), (3, "one two three"), (4, "so one two three")]), bench, whole_items=True)
+    assert set(as_dict(found.collect())) == {(2, 1), (3, 2)}
 
 
-def test_without_broadcasts(spark, documents, case, monkeypatch):
+def test_blocks_of_items(spark, documents, case, monkeypatch):
     docs, items = case
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted(map(repr, D.overlaps(documents(docs), bench).collect()))
-    monkeypatch.setattr(D, "BROADCAST_SEEDS", 0)
-    assert sorted(map(repr, D.overlaps(documents(docs), bench).collect())) == want
+    want = as_dict(D.overlaps(documents(docs), bench, whole_items=True).collect())
+    monkeypatch.setattr(D, "BROADCAST_SEEDS", 200)
+    assert as_dict(D.overlaps(documents(docs), bench, whole_items=True).collect()) == want
 
 
 def test_stage_keeps_the_clean(spark, documents, case):
@@ -79,6 +130,7 @@ def test_stage_keeps_the_clean(spark, documents, case):
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = documents(docs, clash=True)
     bad = {d for d, _ in brute(docs, items)}
+    assert 3 < len(bad) < len(docs)
     kept = D.decontaminate(df, bench)
     assert kept.columns == df.columns
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _ in docs if d not in bad)
