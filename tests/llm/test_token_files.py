@@ -14,7 +14,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(T.tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -38,7 +37,6 @@ def test_other_tokenizers_get_whole_texts(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(T.tokenizer_path(name))
-    t.encode_special_tokens = True
     e = T.Encoder(T.tokenizer_path(name))
     assert np.frombuffer(e.text("Some  words here."), e.dtype).tolist() == t.encode("Some  words here.", add_special_tokens=False).ids
 
@@ -68,5 +66,74 @@ def test_files_give_back_every_row(spark, documents, library):
     assert T.lookup(manifest, 15) == [] and T.lookup(manifest, 10**12) == []
 
 
+def test_special_strings_are_their_tokens(library):
+    e = T.Encoder(T.tokenizer_path())
+    assert np.frombuffer(e.text("a <|endoftext|> b"), e.dtype).tolist() == library("a <|endoftext|> b")
+    assert 50256 in library("a <|endoftext|> b")
+
+
+def test_lookup_reads_a_few_bytes_only(spark, documents, monkeypatch):
+    rows = [(i * i, f"text {i}") for i in range(20_000)]
+    manifest = T.write_tokens(documents(rows), T.tokenizer_path(), scratch.new_path(spark, "tokens-few"), n_shards=1)
+    took = []
+
+    class Counting:
+        def __init__(self, f):
+            self.f = f
+
+        def read_at(self, n, at):
+            took.append(n)
+            return self.f.read_at(n, at)
+
+        def close(self):
+            self.f.close()
+
+    plain = T.Shard.__init__
+
+    def opened(self, *a):
+        plain(self, *a)
+        self.index = Counting(self.index)
+
+    monkeypatch.setattr(T.Shard, "__init__", opened)
+    e = T.Encoder(T.tokenizer_path())
+    for i in (0, 77, 19_999):
+        took.clear()
+        assert [x.tolist() for x in T.lookup(manifest, i * i)] == [np.frombuffer(e.text(f"text {i}"), e.dtype).tolist()]
+        assert sum(took) < 2500 and len(took) < 30
+    assert T.lookup(manifest, 3) == []
+
+
+def test_task_goes_on_in_a_new_shard(spark, documents, library, monkeypatch):
+    writer = T._Writer(scratch.new_path(spark, "tokens-roll"), 0, 2)
+    monkeypatch.setattr(T, "SHARD_ROWS", 3)
+    for k in [None, 1, 1, 1, 1, 2, 5]:
+        writer.add(k, b"\x01\x00\x00\x00")
+    writer.close()
+    made = writer.made
+    assert [m[1:] for m in made] == [(3, 6, 1, 1), (3, 6, 1, 2), (1, 2, 5, 5)]
+    manifest = [dict(zip(("name", "rows", "ids", "low", "high"), m)) | {"before": 6 * i, "folder": writer.folder, "ordered": True} for i, m in enumerate(made)]
+    assert [len(T.lookup(manifest, k)) for k in (1, 2, 5, 7)] == [4, 1, 1, 0]
+    assert [(r.doc_id, r.start) for r in sorted(T.read_tokens(spark, manifest).collect(), key=lambda r: r.start)] == [(None, 0), (1, 2), (1, 4), (1, 6), (1, 8), (2, 10), (5, 12)]
+
+
+def test_stored_order(spark, documents):
+    ids = [5, 3, 9, 1, 3]
+    df = scratch.written(documents([(i, f"t{k}") for k, i in enumerate(ids)]).coalesce(1), "order-test")
+    manifest = T.write_tokens(df, T.tokenizer_path(), scratch.new_path(spark, "tokens-order"), order=T.stored_order(df))
+    assert [r.doc_id for r in sorted(T.read_tokens(spark, manifest).collect(), key=lambda r: r.start)] == ids
+    assert len(T.lookup(manifest, 3)) == 2
+    assert T.stored_order(documents([(1, "a")])) == []
+
+
+def test_query(spark, library):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    start = 0
+    for r in sorted(T.op3_token_files(spark, sf).collect(), key=lambda r: r.doc_id):
+        ids = [*library(texts[r.doc_id]), 0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_empty_table(spark, documents):
     assert T.tokenise(documents([])).count() == 0
