@@ -1,79 +1,78 @@
 """Sharding by sampled splitters.
 
-Records have a 64-bit sort key: the high half is a hash of the text (equal texts
-lie together), the low half a hash of the id (a hot text can still be cut).
+Records are ordered by two hashes: of the text (equal texts lie together), and of
+the id and the record's place (so a hot text, even without ids, can be cut).
 
 1.  A sample of keys is drawn, a record's chance growing with its share of the
-    bytes and of the rows; weighted quantiles of the sample are the splitters.
-2.  Every record finds its range by binary search; bytes and rows of each range
-    are counted exactly. Overfull ranges are sampled again on their own and
-    subdivided, until they fit or hold a single key.
+    bytes and of the rows; weighted quantiles of the sample are the splitters of
+    ``RANGES_PER_SHARD`` ranges a shard. Sample and splitters are of fixed size, so
+    the driver may hold them.
+2.  Every record finds its range by binary search. Bytes and rows of each range
+    are counted exactly, and a range of over ``RANGE_ROWS`` rows is subdivided: at
+    equal distances of the text's hash, or, where a range holds one text only, of
+    the second hash. What is known of a part (bytes, rows, what lies before it)
+    stays in a table.
 3.  Shard cuts lie where the exact running bytes cross multiples of total/n. A
-    group of equal texts that straddles a cut goes to one side if that shifts
-    less than ``TOLERANCE`` of a shard, and is cut between rows otherwise.
+    group of equal texts that straddles a cut goes to one side as a whole if that
+    shifts less than ``TOLERANCE`` of a shard, and is cut between rows otherwise.
+    A group's place is counted over all records, so it may cross ranges.
 4.  The position in the key order, counted from the shard's first record, is
-    the slot. Windows span one range each, never a shard or the table.
-
-The driver holds the sample, the splitters and two sums per range: their number
-is set by ``range_rows``, not by the records.
+    the slot. Windows span one part each, never a shard or the table.
 
 Defined results
-    null text: no bytes, so size 1, crc32 0. null id: ordered before others.
+    null text: no bytes, so size 1, crc32 0. null id: ordered like any other.
     Repeated rows: each has a slot of its own. Empty table: empty result.
     Extra columns are not read. Fewer records than shards: some stay empty.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import scratch
 from .text import long_array
 
-#: Ranges per shard at least, rows per range aimed at, samples per range.
+#: Ranges per shard, rows per part aimed at, samples per range.
 RANGES_PER_SHARD = 64
 RANGE_ROWS = 100_000
 OVERSAMPLE = 32
-#: A range is overfull from this many times the mean.
-OVERFULL = 3.0
 TOLERANCE = 0.01
+#: The table of parts is broadcast up to this many rows of 40 bytes.
+BROADCAST_PARTS = 500_000
+KEY = ("text_hash", "row_hash")
+
+
+def _at_or_below(bounds: list[tuple[int, int]], i: Column) -> Column:
+    """Whether bound ``i`` is at or below the record's key."""
+    a, b = F.get(long_array(x for x, _ in bounds), i), F.get(long_array(y for _, y in bounds), i)
+    return (a < F.col("text_hash")) | ((a == F.col("text_hash")) & (b <= F.col("row_hash")))
 
 
-def _range_of(splitters: list[int]):
+def _range_of(splitters: list[tuple[int, int]]) -> Column:
     """Number of splitters at or below the key: a binary search of fixed depth."""
     if not splitters:
         return F.lit(0)
-    top = 1 << (len(splitters)).bit_length()
-    steps = long_array(top >> i for i in range(1, top.bit_length()))
-    bounds = long_array(splitters)
     n = len(splitters)
-    found = F.aggregate(
-        steps,
-        F.lit(0).cast("long"),
-        lambda low, step: F.when((low + step <= n) & (F.get(bounds, (low + step - 1).cast("int")) <= F.col("key")), low + step).otherwise(low),
-    )
+    top = 1 << n.bit_length()
+    steps = long_array(top >> i for i in range(1, top.bit_length()))
+    found = F.aggregate(steps, F.lit(0).cast("long"), lambda low, step: F.when((low + step <= n) & _at_or_below(splitters, (low + step - 1).cast("int")), low + step).otherwise(low))
     return found.cast("int")
 
 
-def _chance(rate, total_bytes: int, rows: int):
-    """How often a record is expected in the sample; above 1 counts as weight."""
-    return (F.col("size") / F.lit(float(total_bytes)) + F.lit(1.0 / rows)) * F.lit(rate / 2.0)
-
+def _sample(rows: DataFrame, total_bytes: int, count: int, wanted: int) -> list[tuple[tuple[int, int], float]]:
+    """About ``wanted`` (key, weight), in key order. A record's chance is its share
+    of the bytes and of the rows; above 1 it counts as weight."""
+    drawn = F.shiftrightunsigned(F.xxhash64(*KEY, F.lit("sample")), 11) / F.lit(float(2**53))
+    chance = (F.col("size") / F.lit(float(total_bytes)) + F.lit(1.0 / count)) * F.lit(wanted / 2.0)
+    picked = rows.withColumn("chance", chance).where(drawn < F.col("chance")).select(*KEY, F.greatest("chance", F.lit(1.0)).alias("weight"))
+    return sorted(((r.text_hash, r.row_hash), r.weight) for r in picked.collect())
 
-def _sample(rows: DataFrame, total_bytes: int, count: int, wanted: int, salt: int) -> list[tuple[int, float]]:
-    """About ``wanted`` (key, weight), in key order."""
-    drawn = F.shiftrightunsigned(F.xxhash64("key", "doc_id", F.lit(salt)), 11) / F.lit(float(2**53))
-    chance = _chance(float(wanted), total_bytes, count)
-    picked = rows.withColumn("chance", chance).where(drawn < F.col("chance")).select("key", F.greatest("chance", F.lit(1.0)).alias("weight"))
-    return sorted((r.key, r.weight) for r in picked.collect())
 
-
-def _quantiles(sample: list[tuple[int, float]], parts: int) -> list[int]:
+def _quantiles(sample: list[tuple[tuple[int, int], float]], parts: int) -> list[tuple[int, int]]:
     """Distinct keys, fewer than ``parts``, that cut the sample's weight evenly."""
     total, done, due, out = sum(w for _, w in sample), 0.0, 1, []
     for key, weight in sample:
@@ -81,44 +80,24 @@ def _quantiles(sample: list[tuple[int, float]], parts: int) -> list[int]:
             out += [key] * (not out or key > out[-1])
             due = int(done * parts / total) + 1
         done += weight
-    return out
-
-
-def _sums(placed: DataFrame, ranges: int) -> tuple[list[int], list[int]]:
-    size, count = [0] * ranges, [0] * ranges
-    for r in placed.groupBy("range").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect():
-        size[r["range"]], count[r["range"]] = r.s, r.n
-    return size, count
-
-
-def _splitters(rows: DataFrame, total_bytes: int, count: int, n_shards: int, range_rows: int) -> tuple[list[int], list[int], list[int]]:
-    """Splitters, with bytes and rows of each range."""
-    ranges = max(n_shards * RANGES_PER_SHARD, -(-count // range_rows))
-    splitters = _quantiles(_sample(rows, total_bytes, count, ranges * OVERSAMPLE, 0), ranges)
-    stuck: set[int] = set()
-    for attempt in range(1, 9):
-        size, held = _sums(rows.withColumn("range", _range_of(splitters)), len(splitters) + 1)
-        load = [max(s / total_bytes, n / count) * ranges for s, n in zip(size, held)]
-        over = [i for i, x in enumerate(load) if x > OVERFULL and held[i] > 1 and (splitters[i - 1] if i else None) not in stuck]
-        if not over:
-            break
-        inside = rows.withColumn("range", _range_of(splitters)).where(F.array_contains(long_array(over), F.col("range").cast("long")))
-        wanted = int(sum(load[i] for i in over)) * OVERSAMPLE
-        share = max(1e-9, sum(load[i] for i in over) / ranges)
-        again = _sample(inside, total_bytes, count, int(wanted / share), attempt)
-        edges = [bisect_right(splitters, k) for k, _ in again]
-        more: list[int] = []
-        for i in over:
-            part = [x for x, e in zip(again, edges) if e == i]
-            cut = [k for k in _quantiles(part, max(2, int(load[i]) + 1)) if not i or k > splitters[i - 1]]
-            more += cut
-            if not cut:
-                stuck.add(splitters[i - 1] if i else None)
-        if not more:
-            break
-        splitters = sorted({*splitters, *more})
-    size, held = _sums(rows.withColumn("range", _range_of(splitters)), len(splitters) + 1)
-    return splitters, size, held
+    return sorted(out)
+
+
+def _part_of(splitters: list[tuple[int, int]], held: list[int], range_rows: int) -> Column:
+    """A record's part of its range: a step of the first hash, or of the second one
+    where both ends of the range are of one text. It never falls along the order."""
+    low = [-(2**63), *(a for a, _ in splitters)]
+    high = [*low[1:], 2**63 - 1]
+    one = [a == b and 0 < i < len(low) - 1 for i, (a, b) in enumerate(zip(low, high))]
+    second = [-(2**63), *(b for _, b in splitters)]
+    start = [s if o else a for a, s, o in zip(low, second, one)]
+    end = [(second[i + 1] if o else b) for i, (b, o) in enumerate(zip(high, one))]
+    parts = [max(1, -(-n // range_rows)) for n in held]
+    at = F.col("range")
+    pick = lambda values: F.get(long_array(values), at)
+    hashed = F.when(pick(map(int, one)) == 1, F.col("row_hash")).otherwise(F.col("text_hash"))
+    share = (hashed.cast("double") - pick(start).cast("double")) / F.greatest(pick(end).cast("double") - pick(start).cast("double"), F.lit(1.0))
+    return F.when(pick(parts) == 1, F.lit(0)).otherwise(F.least(pick(parts) - 1, F.greatest(F.lit(0), F.floor(share * pick(parts))))).cast("int")
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 8, range_rows: int = RANGE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,47 +108,61 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, range_rows: int = RANGE_R
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
+        F.xxhash64(F.lit("row"), F.col(id_col).cast("long"), F.monotonically_increasing_id()).alias("row_hash"),
     )
-    high = F.shiftleft(F.shiftright("text_hash", 32), 32)
-    low = F.shiftrightunsigned(F.xxhash64(F.lit("row"), "doc_id"), 32)
-    rows = scratch.written(rows.withColumn("key", high.bitwiseOR(low)), "records")
+    rows = scratch.written(rows, "records")
     total = rows.agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).first()
     if not total.n:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    splitters, size, held = _splitters(rows, total.s, total.n, n_shards, range_rows)
-    before_bytes, before_rows = [0, *accumulate(size)], [0, *accumulate(held)]
+    ranges = n_shards * RANGES_PER_SHARD
+    splitters = _quantiles(_sample(rows, total.s, total.n, ranges * OVERSAMPLE), ranges)
     placed = rows.withColumn("range", _range_of(splitters))
-    order = Window.partitionBy("range").orderBy("key", "text_hash", "doc_id")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    size, held = [0] * (len(splitters) + 1), [0] * (len(splitters) + 1)
+    for r in placed.groupBy("range").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect():
+        size[r["range"]], held[r["range"]] = r.s, r.n
+    placed = placed.withColumn("part", _part_of(splitters, held, range_rows))
+    parts = placed.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda sums, c: F.get(long_array([0, *accumulate(sums)]), F.col("range")) + F.coalesce(F.sum(c).over(earlier), F.lit(0).cast("long"))
+    parts = scratch.written(parts.withColumns({"bytes_before": before(size, "bytes"), "rows_before": before(held, "rows")}), "parts")
+    near = F.broadcast if parts.count() <= BROADCAST_PARTS else (lambda df: df)
+    starts = [0, *_cuts(rows, placed, parts, total, n_shards)]
+
+    order = Window.partitionBy("range", "part").orderBy(*KEY)
+    ranked = placed.join(near(parts.select("range", "part", "rows_before")), ["range", "part"]).withColumn("place", F.col("rows_before") + F.row_number().over(order) - 1)
+    shard = sum(((F.col("place") >= s).cast("int") for s in starts[1:]), F.lit(0))
+    out = ranked.withColumn("shard", shard)
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.get(long_array(starts), F.col("shard"))).cast("long").alias("slot"))
 
-    def ranked(part: DataFrame) -> DataFrame:
-        at = (F.col("range")).cast("int")
-        return part.withColumns({"place": F.get(long_array(before_rows), at) + F.row_number().over(order) - 1, "upto": F.get(long_array(before_bytes), at) + F.sum("size").over(running)})
 
+def _cuts(rows: DataFrame, placed: DataFrame, parts: DataFrame, total, n_shards: int) -> list[int]:
+    """The place in the whole order of the first record behind each cut. All that
+    comes to the driver is a row or two per cut."""
     targets = [total.s * j // n_shards for j in range(1, n_shards)]
-    touched = sorted({min(bisect_right(before_bytes, t) - 1, len(size) - 1) for t in targets})
-    near = scratch.written(ranked(placed.where(F.array_contains(long_array(touched), F.col("range").cast("long")))), "near-cuts")
-    # A cut is the place in the whole order of the first record behind it.
-    groups = near.groupBy("range", "text_hash").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.min(F.col("upto") - F.col("size")).alias("start"), F.max("upto").alias("end"))
-    straddle = F.exists(long_array(targets), lambda t: (F.col("start") <= t) & (t < F.col("end")))
-    found = groups.where(straddle).collect()
+    inside = lambda low, high: F.filter(long_array(targets), lambda t: (low <= t) & (t < high))
+    cut = parts.where(F.size(inside(F.col("bytes_before"), F.col("bytes_before") + F.col("bytes"))) > 0)
+    order = Window.partitionBy("range", "part").orderBy(*KEY)
+    near = placed.join(F.broadcast(cut), ["range", "part"]).withColumns(
+        {"place": F.col("rows_before") + F.row_number().over(order) - 1, "upto": F.col("bytes_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))}
+    )
+    found = {}
+    for r in near.select("place", "upto", "size", "text_hash", F.explode(inside(F.col("upto") - F.col("size"), F.col("upto"))).alias("t")).collect():
+        found[r.t] = r
+    texts = sorted({r.text_hash for r in found.values()})
+    if not texts:
+        return []
+    # Where the groups of these texts begin, and how much they hold, over all records.
+    sums = [F.struct(F.count_if(F.col("text_hash") < g).alias("first"), F.count_if(F.col("text_hash") == g).alias("n"), F.coalesce(F.sum(F.when(F.col("text_hash") < g, F.col("size"))), F.lit(0)).alias("start"), F.coalesce(F.sum(F.when(F.col("text_hash") == g, F.col("size"))), F.lit(0)).alias("bytes")) for g in texts]
+    groups = dict(zip(texts, rows.agg(*sums).first()))
     slack = total.s / n_shards * TOLERANCE
-    cuts: dict[int, int] = {}
-    for j, t in enumerate(targets):
-        for g in found:
-            if g.start <= t < g.end:
-                nearest = min((abs(t - g.start), g["first"]), (abs(g.end - t), g["first"] + g.n))
-                if g.n == 1 or nearest[0] <= slack:
-                    cuts[j] = nearest[1]
-    rest = [t for j, t in enumerate(targets) if j not in cuts]
-    if rest:
-        rowwise = near.select("place", "size", "upto", F.explode(F.filter(long_array(rest), lambda t: (F.col("upto") - F.col("size") <= t) & (t < F.col("upto")))).alias("t"))
-        for r in rowwise.collect():
-            cuts[targets.index(r.t)] = r.place + (2 * (r.t - r.upto + r.size) >= r["size"])
-    starts = [0, *(c for _, c in sorted(cuts.items()))]
-    shard = sum(((F.col("place") >= s).cast("int") for s in starts[1:]), F.lit(0))
-    out = ranked(placed).withColumn("shard", shard)
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.get(long_array(starts), F.col("shard"))).cast("long").alias("slot"))
+    out = []
+    for t in targets:
+        r = found[t]
+        g = groups[r.text_hash]
+        off, place = min((abs(t - g.start), g["first"]), (abs(g.start + g.bytes - t), g["first"] + g.n))
+        rowwise = r.place + (2 * (t - r.upto + r["size"]) >= r["size"])
+        out.append(place if g.n == 1 or off <= slack else rowwise)
+    return sorted(out)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

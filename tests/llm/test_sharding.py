@@ -51,3 +51,45 @@ def test_overfull_ranges_are_subdivided(documents):
     df = documents(rows)
     total = check(rows, sharding.shard_by_bytes(df, range_rows=20).collect())
     assert max(total) - min(total) <= 0.03 * sum(total) / 8 + 10
+
+
+def test_many_rows_without_ids(documents):
+    """Equal rows of one text and no id: the second hash still cuts them."""
+    rows = [(None, "same text")] * 4000 + [(i, f"other {i}") for i in range(400)]
+    found = sharding.shard_by_bytes(documents(rows), range_rows=100).collect()
+    total = check(rows, found)
+    assert max(total) - min(total) <= 40
+
+
+def test_driver_holds_a_fixed_sample(documents, monkeypatch):
+    seen = []
+    plain = sharding._sample
+    monkeypatch.setattr(sharding, "_sample", lambda *a: seen.append(plain(*a)) or seen[-1])
+    for n in (20_000, 60_000):
+        sharding.shard_by_bytes(documents([(i, f"t{i}") for i in range(n)]), range_rows=500).count()
+    most = 8 * sharding.RANGES_PER_SHARD * sharding.OVERSAMPLE
+    assert len(seen) == 2 and all(0.8 * most < len(x) < 1.2 * most for x in seen[1:])
+
+
+def test_order_is_kept_by_parts(spark, documents):
+    """Ranges and their parts never fall along the key order."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    keys = sorted((r.choice([-5, 7, r.randrange(-(2**63), 2**63)]), r.randrange(-(2**63), 2**63)) for _ in range(3000))
+    splitters = sorted(r.sample(keys, 60))
+    rows = spark.createDataFrame(keys, "text_hash long, row_hash long").withColumn("range", sharding._range_of(splitters))
+    held = [0] * 61
+    for x in rows.groupBy("range").count().collect():
+        held[x["range"]] = x["count"]
+    got = rows.withColumn("part", sharding._part_of(splitters, held, 10)).sort("text_hash", "row_hash").collect()
+    at = [(x["range"], x.part) for x in got]
+    assert at == sorted(at) and len(set(at)) > 150
+    assert [x["range"] for x in got] == [sum(s <= k for s in splitters) for k in keys]
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    total = check(rows, sharding.op2_sharding(spark, sf).collect())
+    assert max(total) - min(total) <= 0.03 * sum(total) / 8 + max(len((t or "").encode()) for _, t in rows)
