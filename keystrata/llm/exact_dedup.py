@@ -77,7 +77,7 @@ def dedup_exact(docs: DataFrame, keep: str = "min", digest_bits: int = 256, id_c
         # and rows of one full digest are separated by their text.
         level = level.join(clash, "digest", "left_anti")
         whole = runs.join(clash, "digest", "left_anti")
-    out = whole.join(level, "digest", "left").select(
+    out = scratch.join_hot(whole, level, "digest", "group_size", runs.count()).select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import shared
 
@@ -51,6 +52,26 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: At most this many hot keys are broadcast: a key is hot from ``HOT_ROWS`` rows or
+#: this share of all rows on, whichever is more.
+HOT_KEYS, HOT_ROWS = 100_000, 10_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` left joined with ``keyed``, which has one row per ``key`` and in
+    ``size`` how many of ``rows`` (of ``total``) have it. Rows of hot keys meet a
+    broadcast of those keys, bounded by ``HOT_KEYS``, where they lie; only the
+    others are shuffled."""
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = written(keyed.where(F.col(size) >= least), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(keyed, key, "left")
+    near = F.broadcast(hot)
+    inside = rows.join(near, key)
+    outside = rows.join(near.select(key), key, "left_anti").join(keyed.where(F.col(size) < least), key, "left")
+    return inside.unionByName(outside)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a path below the shared folder; a missing one is no error."""
     jvm = spark.sparkContext._jvm

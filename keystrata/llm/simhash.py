@@ -9,8 +9,11 @@ sends a search through most of its nodes, so trees are built per shard: the bits
 are cut into radius + 2 blocks, and as two fingerprints within the radius agree
 on at least two blocks, every pair of blocks with its value is a shard. A shard
 meets its own fingerprints only, so instead of a broadcast of all trees, queries
-and tree are dealt to one task. Fingerprints of a shard of over ``SHARD_MAX`` are
-linked without a tree, by points that lie between two of them.
+and tree are dealt to one task. A shard of over ``SHARD_MAX`` fingerprints is
+subdivided: the bits that it leaves free are cut into radius + 1 blocks, and as two
+fingerprints within the radius agree on one of them, every block with its value is a
+smaller shard. This goes on until a shard fits or leaves ``FREE_BITS`` bits, of
+which there are no more than 2 ** FREE_BITS distinct fingerprints.
 
 A shard's links leave it as a star per local component (each member to the
 smallest), not as pairs. Stars are joined to components by alternating large-
@@ -38,7 +41,7 @@ from pyspark.sql.window import Window
 from . import scratch
 from .text import long_array
 
-SHARD_MAX = 4096
+SHARD_MAX, FREE_BITS = 4096, 12
 ROUNDS_MAX = 60
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -177,40 +180,32 @@ def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
     return rows.select("fp", F.explode(made).alias("s")).select("s.mask", "s.value", "fp")
 
 
-def _ball(radius: int) -> list[int]:
-    """All 64-bit masks of at most ``radius`` bits."""
-    return [_signed(sum(1 << b for b in bits)) for n in range(radius + 1) for bits in combinations(range(64), n)]
-
-
-def _links_by_meeting(fps: DataFrame, radius: int) -> DataFrame:
-    """Edges by meeting points, for fingerprints of overfull shards: two within
-    the radius have a point within radius // 2 of one and the rest of the other.
-    Every fingerprint makes a fixed number of points, and a point joins all that
-    reach it to the smallest one near it, so nothing grows with a shard."""
-    near = _ball(radius // 2)
-    far = _ball(radius - radius // 2)
-    points = lambda ball: fps.select("fp", F.explode(long_array(ball)).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("point"))
-    least = points(near).groupBy("point").agg(F.min("fp").alias("b"))
-    return points(far).join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+def _stars(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges of the shards, each with a tree of its own."""
+    shards = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mask", "value").sortWithinPartitions("mask", "value")
+    return shards.mapInArrow(lambda batches: _stars_of(batches, radius), "a long, b long")
 
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """Edges a, b between distinct fingerprints: they connect whatever links
     within the radius connect."""
-    spark = fps.sparkSession
+    scratch.ship(fps.sparkSession)
     blocks = _cut(list(range(64)), radius + 2)
-    rows = _dealt(fps, [a | b for a, b in combinations(blocks, 2)])
-    hot = scratch.written(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_MAX).select("mask", "value"), "hot-shards")
-    more = None
-    if not hot.isEmpty():
-        inside = scratch.written(rows.join(hot, ["mask", "value"], "left_semi").select("fp").distinct(), "hot-fingerprints")
-        more = _links_by_meeting(inside, radius)
-        rows = rows.join(hot, ["mask", "value"], "left_anti")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = rows.repartition(n, "mask", "value").sortWithinPartitions("mask", "value")
-    scratch.ship(spark)
-    found = shards.mapInArrow(lambda batches: _stars_of(batches, radius), "a long, b long")
-    return (found if more is None else found.unionByName(more)).distinct()
+    rows, found = _dealt(fps, [a | b for a, b in combinations(blocks, 2)]), None
+    while True:
+        hot = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > SHARD_MAX) & (F.bit_count("mask") < 64 - FREE_BITS))
+        hot = scratch.written(hot.select("mask", "value"), "hot-shards")
+        masks = [r.mask for r in hot.select("mask").distinct().collect()]
+        if not masks:
+            fit = _stars(rows, radius)
+            return (fit if found is None else found.unionByName(fit)).distinct()
+        near = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+        fit = _stars(rows.join(near, ["mask", "value"], "left_anti"), radius)
+        found = fit if found is None else found.unionByName(fit)
+        finer = {m: [_signed(m & (2**64 - 1) | s) for s in _cut([b for b in range(64) if not m >> b & 1], radius + 1)] for m in masks}
+        table = F.create_map(*(x for m, own in finer.items() for x in (F.lit(m).cast("long"), long_array(own))))
+        inside = rows.join(near, ["mask", "value"], "left_semi").select("fp", F.explode(F.element_at(table, F.col("mask"))).alias("mask"))
+        rows = scratch.written(inside.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp").distinct(), "finer-shards")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,13 +231,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id of every row."""
     rows = scratch.written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    fps = scratch.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    fps = scratch.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = components(links(fps.select("fp"), radius))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = scratch.written(named, "rooted")
-    linked = roots.select("root").distinct().join(named, "root").groupBy("root").agg(F.min("least").alias("component"))
-    labels = scratch.written(named.join(linked, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "labels")
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    linked = scratch.written(named.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members")).where("members > 1"), "linked")
+    labels = scratch.written(scratch.join_hot(named, linked, "root", "members", named.count()).select("fp", "n", F.coalesce("component", "least").alias("component_id")), "labels")
+    return scratch.join_hot(rows, labels, "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,5 +42,14 @@ def test_sql(spark):
     assert sorted(map(tuple, df.select(columns).collect())) == sorted(con.sql(exact_dedup.ORACLE).select(*columns).fetchall())
 
 
+def test_hot_texts(documents, monkeypatch):
+    monkeypatch.setattr(exact_dedup.scratch, "HOT_ROWS", 50)
+    rows = [(i, "Hot") for i in range(200)] + [(None, "null ids")] * 70 + [(1000 + i, f"pair {i // 2}") for i in range(60)]
+    found = exact_dedup.dedup_exact(documents(rows), keep="max").collect()
+    assert len(found) == len(rows) and sum(r.kept for r in found) == 1 + 1 + 30
+    assert {(r.keep_id, r.group_size) for r in found if r.doc_id is not None and r.doc_id < 1000} == {(199, 200)}
+    assert [(r.keep_id, r.group_size) for r in found if r.doc_id is None] == [(None, 70)] * 70
+
+
 def test_empty_table(documents):
     assert exact_dedup.dedup_exact(documents([])).count() == 0

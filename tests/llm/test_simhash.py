@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from keystrata.llm import simhash
+from keystrata.llm import scratch, simhash
 
 
 def brute_fingerprint(text):
@@ -49,9 +49,10 @@ def corpus(seed=1, n=60):
     return rows + [(5000, None), (5001, ""), (5002, " \n"), (None, base[0]), (3, base[3]), (3, base[3]), (6000, "x " * 30_000)]
 
 
-@pytest.mark.parametrize("shard_max", [1024, 2])
-def test_equals_brute_force(documents, monkeypatch, shard_max):
+@pytest.mark.parametrize("shard_max,hot_rows", [(1024, 10_000), (2, 2)])
+def test_equals_brute_force(documents, monkeypatch, shard_max, hot_rows):
     monkeypatch.setattr(simhash, "SHARD_MAX", shard_max)
+    monkeypatch.setattr(scratch, "HOT_ROWS", hot_rows)
     rows = corpus()
     found = simhash.near_duplicates(documents(rows, clash=True)).collect()
     want = [(d, brute_fingerprint(t)) for d, t in rows]
@@ -62,7 +63,7 @@ def test_equals_brute_force(documents, monkeypatch, shard_max):
     assert {(r.doc_id, r.fp & (2**64 - 1)): r.component_id for r in found} == classes
 
 
-def test_overfull_shard_is_linked_by_meeting_points(spark, monkeypatch):
+def test_overfull_shard_is_subdivided(spark, monkeypatch):
     """Many near fingerprints: every pair of a chain of single bit flips links."""
     monkeypatch.setattr(simhash, "SHARD_MAX", 8)
     values = [(i ^ (i >> 1)) for i in range(512)] + [2**63 - 1]
@@ -99,6 +100,35 @@ def test_keep_one(documents):
     assert sorted(d for d, _ in got) == sorted(set(classes))
 
 
+def test_links_of_random_fingerprints(spark, monkeypatch):
+    """Pairs at every distance up to the radius link, in subdivided shards too."""
+    r = random.Random(11)
+    base = [r.getrandbits(64) for _ in range(120)]
+    values = {v ^ sum(1 << b for b in r.sample(range(64), k)) for v in base for k in (0, 1, 2, 3, 4)}
+    fps = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    rows = [(i, v) for i, v in enumerate(sorted(values))]
+    want = brute_components(rows)
+    for most in (4096, 1):
+        monkeypatch.setattr(simhash, "SHARD_MAX", most)
+        root = {x.node & (2**64 - 1): x.root & (2**64 - 1) for x in simhash.components(simhash.links(fps)).collect()}
+        own = [root.get(v, v) for _, v in rows]
+        assert len({*zip(own, want)}) == len({*own}) == len({*want})
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(x.doc_id, brute_fingerprint(x.text)) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {(x.doc_id, int(x.fingerprint, 16), x.component_id) for x in simhash.op1_simhash(spark, sf).collect()}
+    assert got == {(d, f, c) for (d, f), c in zip(rows, brute_components(rows))}
+
+
+def test_many_rows_without_ids(documents):
+    rows = [(None, "a b c d e f")] * 500 + [(None, None)] * 300 + [(7, "a b c d e f"), (8, "")]
+    found = simhash.near_duplicates(documents(rows)).collect()
+    assert sorted((x.doc_id or 0, x.component_id) for x in found) == sorted([(0, 7)] * 500 + [(0, 8)] * 300 + [(7, 7), (8, 8)])
+    assert simhash.keep_one(documents(rows)).count() == 2
+
+
 def test_ids_that_are_all_null(documents):
     kept = simhash.keep_one(documents([(None, "a b c d"), (None, "a b c d"), (None, "something else entirely here")]))
     assert kept.count() == 2
