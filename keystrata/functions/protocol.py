@@ -32,7 +32,7 @@ def tail(text: Column) -> Column:
 def parse(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds command, args, key, doc and valid. ``doc`` is never null for commands
     that write; ``key`` is null where a command has none. A null line is an empty
-    one."""
+    one. Columns of ``lines`` with one of these names are replaced."""
     line = chomp(F.coalesce(F.col(raw), F.lit("")))
     out = lines.withColumns({"command": head(line), "args": tail(line)})
     command, args = F.col("command"), F.col("args")

@@ -1,13 +1,18 @@
 """Commands over a table of live documents (key, version, doc), in bulk.
 
-Each takes the live table and a batch and answers one row per batch row; the
-batch's keys are expected to be distinct (a log with repeats is for ``replay``).
+Each takes the live table and a batch and answers one row per batch row. Of batch
+rows that save one free key, one (the least document) is saved; for updates and
+deletes the batch's keys are expected to be distinct (a log with repeats is for
+``replay``).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def lookup_one(live: DataFrame, key: str) -> DataFrame:
@@ -15,6 +20,19 @@ def lookup_one(live: DataFrame, key: str) -> DataFrame:
     return live.where(F.col("key") == F.lit(key))
 
 
+def lookup_number(table: DataFrame, number: str, key: str) -> DataFrame:
+    """The rows of a key in a table that holds keys as numbers in the column
+    ``number``; the equality reaches the scan. None for a text that is no key."""
+    value = int(key, 16) if re.fullmatch("[0-9A-Fa-f]+", key) else -1
+    return table.where(F.col(number) == F.lit(value)) if 0 <= value < 2**63 else table.where(F.lit(False))
+
+
+def lookup_versions(live: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, status (``ok`` or ``not_found``), version and doc."""
+    held = live.select("key", "version", "doc")
+    return keys.select("key").join(held, "key", "left").select("key", F.when(F.col("version").isNull(), "not_found").otherwise("ok").alias("status"), "version", "doc")
+
+
 def lookup(live: DataFrame, keys: DataFrame) -> DataFrame:
     """key and reply: the document or ``not_found``."""
     held = live.select("key", "doc", F.lit(True).alias("_held"))
@@ -24,8 +42,9 @@ def lookup(live: DataFrame, keys: DataFrame) -> DataFrame:
 def save(live: DataFrame, batch: DataFrame) -> DataFrame:
     """Insert-only: the key where it was free, ``keyInUse`` where not."""
     held = live.select("key", F.lit(True).alias("_held"))
-    free = F.col("_held").isNull()
-    return batch.select("key", "doc").join(held, "key", "left").select("key", F.when(free, F.col("key")).otherwise("keyInUse").alias("reply"), free.alias("applied"), F.when(free, F.lit(1).cast("long")).alias("version"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
+    free = F.col("_held").isNull() & (F.col("_nth") == 1)
+    return batch.select("key", "doc", nth.alias("_nth")).join(held, "key", "left").select("key", F.when(free, F.col("key")).otherwise("keyInUse").alias("reply"), free.alias("applied"), F.when(free, F.lit(1).cast("long")).alias("version"))
 
 
 def update(live: DataFrame, batch: DataFrame) -> DataFrame:
@@ -43,7 +62,7 @@ def delete(live: DataFrame, batch: DataFrame) -> DataFrame:
 
 def apply_saves(live: DataFrame, batch: DataFrame) -> DataFrame:
     """The live table after an insert-only save."""
-    new = batch.join(live.select("key"), "key", "left_anti").select("key", F.lit(1).cast("long").alias("version"), "doc")
+    new = batch.join(live.select("key"), "key", "left_anti").groupBy("key").agg(F.lit(1).cast("long").alias("version"), F.min(F.struct("doc")).alias("_doc")).select("key", "version", "_doc.doc")
     return live.select("key", "version", "doc").unionByName(new)
 
 

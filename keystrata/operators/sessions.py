@@ -7,10 +7,12 @@ exists selects it; one to a missing database leaves the selection as it was.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans import replay
+
 NAME = r"\A[A-Za-z0-9_]{1,40}\z"
 
 
@@ -26,17 +28,37 @@ def create_replies(creates: DataFrame, existing: DataFrame | None = None) -> Dat
     return out.select("seq", "name", F.when(~valid, "badname").when(F.col("seq") == F.col("_first"), "ok").otherwise("eexist").alias("reply"))
 
 
-def selected_database(commands: DataFrame, databases: DataFrame) -> DataFrame:
+def selected_database(commands: DataFrame, databases: DataFrame, hot_commands: int | None = None) -> DataFrame:
     """Adds db (the session's database at the command, null: none) and
     db_reply, the answer of a connect or the refusal of a command without a
-    database (null: the command may run)."""
+    database (null: the command may run). Columns of these names are replaced.
+    Sessions of over ``hot_commands`` commands are cut into spans."""
     known = databases.select(F.col("name").alias("_name"), F.lit(True).alias("_known")).distinct()
     is_connect = F.col("command") == "connect"
-    rows = commands.join(known, is_connect & (F.col("args") == F.col("_name")), "left")
-    so_far = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("db", F.last(F.when(is_connect & F.col("_known"), F.col("args")), ignorenulls=True).over(so_far))
+    rows = commands.drop("db", "db_reply").join(known, is_connect & (F.col("args") == F.col("_name")), "left")
+    rows = running_database(rows.withColumn("_chosen", F.when(is_connect & F.col("_known"), F.col("args"))), hot_commands)
     answer = (
         F.when(is_connect, F.when(F.col("_known"), F.concat(F.lit("Database set to "), "args")).otherwise(F.concat(F.lit("Database "), "args", F.lit(" does not exist"))))
         .when((F.col("command") != "create_db") & F.col("db").isNull(), "Database not set, use connect")
     )
     return rows.withColumn("db_reply", answer).drop("_name", "_known")
+
+
+def running_database(rows: DataFrame, hot_commands: int | None = None) -> DataFrame:
+    """Turns ``_chosen`` (the database that a command selects, or null) into ``db``,
+    the last one selected in the session so far."""
+    hot = replay.hot_keys(rows, "session", hot_commands)
+
+    def so_far(*keys: str) -> Column:
+        return F.last("_chosen", ignorenulls=True).over(Window.partitionBy("session", *keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+
+    if hot is None:
+        return rows.withColumn("db", so_far()).drop("_chosen")
+    names = [*(c for c in rows.columns if c != "_chosen"), "db"]
+    cold = rows.join(hot, "session", "left_anti").withColumn("db", so_far())
+    spans = replay.with_spans(rows.join(hot, "session", "left_semi"), "session", hot_commands)
+    ends = spans.groupBy("session", "_span").agg(F.max_by("_chosen", F.when(F.col("_chosen").isNotNull(), F.col("seq"))).alias("_end"))
+    earlier = Window.partitionBy("session").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("session", "_span", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    warm = spans.join(ends, ["session", "_span"]).withColumn("db", F.coalesce(so_far("_span"), "_carried"))
+    return cold.select(names).unionByName(warm.select(names))

@@ -8,9 +8,10 @@ and nothing else changes presence; so presence before a row is the last such
 command before it. Everything else follows by running sums.
 
 A key with over ``hot_ops`` commands would be one task's work. Its log is cut
-into spans of ``hot_ops`` commands by sequence number; each span is replayed by
-itself, and what flows from span to span (presence, incarnations, versions, the
-document) is summed over the spans' summaries, a few rows per key.
+into spans of about ``hot_ops`` commands at quantiles of the sequence numbers, so
+gaps in them don't matter; each span is replayed by itself, and what flows from span
+to span (presence, incarnations, versions, the document) is summed over the spans'
+summaries, a few rows per key. Where no key is hot, nothing of this is planned.
 """
 
 from __future__ import annotations
@@ -52,14 +53,29 @@ def _windowed(ops: DataFrame) -> DataFrame:
     return out.withColumns({"version": F.sum(_write().cast("long")).over(life), "current_doc": F.last(F.when(_write(), F.col("doc")), ignorenulls=True).over(life)})
 
 
+def with_spans(rows: DataFrame, key: str, span_rows: int) -> DataFrame:
+    """Adds ``_span``, the number of the row's span within its key, by quantiles of
+    seq. All keys are cut into as many spans as the largest one needs."""
+    most = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(1, -(-most // span_rows))
+    at = F.array(*(F.lit(i / parts) for i in range(1, parts))) if parts > 1 else F.array(F.lit(0.5))
+    cuts = rows.groupBy(key).agg(F.percentile_approx("seq", at, max(10_000, 20 * parts)).alias("_cuts"))
+    return rows.join(F.broadcast(cuts) if cuts.count() <= 10_000 else cuts, key).withColumn("_span", F.size(F.filter("_cuts", lambda c: c <= F.col("seq")))).drop("_cuts")
+
+
+def hot_keys(rows: DataFrame, key: str, hot_rows: int | None) -> DataFrame | None:
+    """The keys of over ``hot_rows`` rows; None where there can't be any. A table of
+    no more rows than that isn't even grouped."""
+    if hot_rows is None or rows.count() <= hot_rows:
+        return None
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(key)
+    n = hot.count()
+    return None if n == 0 else F.broadcast(hot) if n <= 10_000 else hot
+
+
 def _spanned(ops: DataFrame, span_ops: int) -> DataFrame:
     """The same result, with one window partition per key and span."""
-    # Spans by value, not by rank: a rank would need the key's rows in one task.
-    width = ops.groupBy("key").agg(F.min("seq").alias("_from"), F.max("seq").alias("_to"), F.count(F.lit(1)).alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / span_ops))
-    width = width.select("key", "_from", F.greatest(F.lit(1), F.ceil((F.col("_to") - F.col("_from") + 1) / parts)).alias("_width"))
-    rows = ops.join(F.broadcast(width) if width.count() <= 10_000 else width, "key")
-    rows = rows.withColumn("_span", F.floor((F.col("seq") - F.col("_from")) / F.col("_width"))).drop("_from", "_width")
+    rows = with_spans(ops, "key", span_ops)
     inside = Window.partitionBy("key", "_span").orderBy("seq")
     before, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,11 +104,10 @@ def replay(ops: DataFrame, hot_ops: int | None = None) -> DataFrame:
     strict policy. ``hot_ops`` names the size from which a key is cut in spans;
     None plans for keys below ``HOT_OPS``. A null document counts as empty."""
     ops = ops.withColumns({"doc": F.coalesce("doc", F.lit("")), "op": F.when(F.col("op") == "save", "save_key").otherwise(F.col("op"))})
-    if hot_ops is None:
+    hot = hot_keys(ops, "key", hot_ops)
+    if hot is None:
         out = _windowed(ops)
     else:
-        counts = ops.groupBy("key").agg(F.count(F.lit(1)).alias("_ops")).where(F.col("_ops") > hot_ops).select("key")
-        hot = F.broadcast(counts) if counts.count() <= 10_000 else counts
         names = [*ops.columns, "present", "eff_save", "eff_update", "eff_delete", "incarnation", "version", "current_doc"]
         out = _windowed(ops.join(hot, "key", "left_anti")).select(names).unionByName(_spanned(ops.join(hot, "key", "left_semi"), hot_ops).select(names))
     op, present = F.col("op"), F.col("present")
@@ -114,6 +129,38 @@ def replies(ops: DataFrame, hot_ops: int | None = None) -> DataFrame:
     return out.select("seq", "key", "op", "reply", "applied", "incarnation", F.when(F.col("present_after"), F.col("version")).alias("version"))
 
 
+def upsert_replay(ops: DataFrame, hot_ops: int | None = None) -> DataFrame:
+    """Adds present and current_doc (both before the command), reply, applied and
+    present_after under the upsert policy: a save or update writes whatever is there
+    and answers the key, a delete always answers ``ok``, a lookup the last document
+    or ``not_found``. Keys are any text; there are no versions."""
+    ops = ops.withColumn("doc", F.coalesce("doc", F.lit("")))
+    write = F.when(F.col("op").isin(*WRITES), F.struct((F.col("op") != "delete").alias("there"), "doc"))
+
+    def before(rows: DataFrame, *keys: str) -> Column:
+        order = Window.partitionBy("key", *keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(write, ignorenulls=True).over(order)
+
+    hot = hot_keys(ops, "key", hot_ops)
+    if hot is None:
+        out = ops.withColumn("_last", before(ops))
+    else:
+        names = [*ops.columns, "_last"]
+        cold = ops.join(hot, "key", "left_anti")
+        rows = with_spans(ops.join(hot, "key", "left_semi"), "key", hot_ops)
+        ends = rows.groupBy("key", "_span").agg(F.max_by(write, F.when(write.isNotNull(), F.col("seq"))).alias("_end"))
+        earlier = Window.partitionBy("key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select("key", "_span", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+        spanned = rows.join(ends, ["key", "_span"]).withColumn("_own", before(rows, "_span")).withColumn("_last", F.coalesce("_own", "_carried"))
+        out = cold.withColumn("_last", before(cold)).select(names).unionByName(spanned.select(names))
+    out = out.withColumns({"present": F.coalesce("_last.there", F.lit(False)), "current_doc": F.when(F.col("_last.there"), F.col("_last.doc"))}).drop("_last")
+    op = F.col("op")
+    reply = F.when(op.isin("save", "save_key", "update"), F.col("key")).when(op == "delete", "ok").when(op == "lookup", F.when(F.col("present"), F.col("current_doc")).otherwise("not_found")).otherwise("invalid_command")
+    applied = F.when(op.isin("save", "save_key", "update"), F.lit(True)).when(op == "delete", F.col("present"))
+    after = F.when(op == "delete", F.lit(False)).otherwise(op.isin("save", "save_key", "update") | F.col("present"))
+    return out.withColumns({"reply": reply, "applied": applied, "present_after": after})
+
+
 def current(ops: DataFrame, policy: str = "strict", hot_ops: int | None = None) -> DataFrame:
     """The live documents: key, version, doc (strict) or key, doc (upsert)."""
     if policy == "upsert":

@@ -24,7 +24,7 @@ def test_create_open_drop(spark, tmp_path):
     with pytest.raises(StoreError, match="does not exist"):
         store.open("three")
     got = sorted(map(tuple, store.catalog().collect()))
-    assert got == [("one", 16, 8, 256), ("two", 8, 4, 16)]
+    assert got == [("one", 16, 8, 256, "strict"), ("two", 8, 4, 16, "strict")]
     store.drop("one")
     assert not store.exists("one") and store.exists("two")
 
