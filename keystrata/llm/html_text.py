@@ -5,8 +5,9 @@ breaks in a row). A block is described by its tag path, with the words of class,
 id and role on it, by its words, both hashed into trained vectors, and by a few
 ratios (length, share of links, place in the page). A bidirectional LSTM in
 numpy reads the page's whole sequence of blocks and labels each one; blocks
-labelled as main text are joined. The content of script, style, title and
-similar elements is never text.
+labelled as main text are joined. The content of script, style, noscript, title,
+textarea, iframe and svg elements is never text; that of math, object and template
+is, for the labeller to judge.
 
 The network is trained here on generated pages (``TRAINING_PAGES`` of them, a
 fixed bound) whose blocks' roles are known, and sees a page of any length whole.
@@ -15,7 +16,9 @@ Defined results
     null or empty html: empty text. Broken markup: unclosed elements end with
     the page; a ``<`` that starts no tag is text; an unclosed comment hides the
     rest. Repeated rows: each gives a row. Empty table: empty result. Extra
-    columns are not read. White space is what Unicode calls so.
+    columns are not read. White space is what Unicode calls so. Very long pages
+    are labelled whole; the network reads ``CELLS`` blocks at a time and hands its
+    state on.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,25 +43,27 @@ PATH_ROWS, PATH_DIM, WORD_ROWS, WORD_DIM, RATIOS, HIDDEN = 8192, 16, 16384, 8, 8
 WORD_PAGES = 80
 TRAINING_PAGES, EPOCHS, BATCH, STEP = 1600, 6, 16, 0.02
 PAGES_AT_ONCE = 256
+#: Blocks, with padding, whose gates are held at once.
+CELLS = 65_536
 
 _TOKEN = re.compile(
-    r"""<!--(?:(?!-->).)*+(?:-->|\Z)|<(script|style|noscript|template|title|textarea|svg|iframe|object|math)\b(?:[^>"']|"[^"]*"|'[^']*')*+>(?:(?!</\1\b).)*+(?:</\1[^>]*>|\Z)"""
+    r"""<!--(?:(?!-->).)*+(?:-->|\Z)|<svg\b(?:[^>"'/]|/(?!>)|"[^"]*"|'[^']*')*+/>|<(script|style|noscript|title|textarea|svg|iframe)\b(?:[^>"']|"[^"]*"|'[^']*')*+>(?:(?!</\1\b).)*+(?:</\1[^>]*>|\Z)"""
     r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+>|[^<]++|<""",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr link meta base param track embed picture video audio canvas map area".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr link meta base param track embed picture video audio canvas map area math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mfenced semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag ends open elements of these kinds, up to the element behind them.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class Block:
-    __slots__ = ("text", "path", "linked", "place")
+    __slots__ = ("text", "path", "leaf", "linked")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, path: tuple[str, ...], leaf: str, linked: int):
+        self.text, self.path, self.leaf, self.linked = text, path, leaf, linked
 
 
 @lru_cache(maxsize=20_000)
@@ -69,14 +75,22 @@ def _element(tag: str, attrs: str) -> tuple[str, ...]:
         if "hidden" in name:
             out.append("hidden")
         else:
-            out += [f"{'#' if name == 'role' else '.'}{w.lower()}" for w in _NAME.findall(value)[:12]]
+            out += [f"{'#' if name == 'role' else '.'}{w.lower()}" for w in _NAME.findall(value)]
     return tuple(dict.fromkeys(out))
 
 
+def _joined(above: tuple[str, ...], own: tuple[str, ...]) -> tuple[str, ...]:
+    new = tuple(w for w in own if w not in above)
+    return above + new if new else above
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The non-empty leaf blocks in page order."""
     out: list[Block] = []
+    # Open elements: tag and the distinct path words down to it. A level that adds
+    # no word shares the tuple of the one above, so depth costs nothing.
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     links = linked = breaks = 0
 
@@ -85,9 +99,15 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(w for _, words in stack for w in words), linked))
+                tag, words = stack[-1] if stack else ("", ())
+                out.append(Block(text, words, f"leaf<{tag}", linked))
             parts, linked = [], 0
 
+    def leave() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     for m in _TOKEN.finditer(page or ""):
         tag = m[3] or m[6]
         if tag is None:
@@ -114,19 +134,21 @@ def blocks_of(page: str | None) -> list[Block]:
         close()
         breaks = 0
         if ending:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if opened[tag] > 0:
+                while leave() != tag:
                     pass
             continue
         if tag not in ("html", "body", "head"):
             ends = ENDS.get(tag)
             if ends:
                 while stack and stack[-1][0] in ends | {"p"}:
-                    stack.pop()
+                    leave()
             elif stack and stack[-1][0] == "p":
-                stack.pop()
+                leave()
         if tag not in VOID:
-            stack.append((tag, _element(tag, (m[4] if m[3] else m[7]) or "")))
+            above = stack[-1][1] if stack else ()
+            stack.append((tag, _joined(above, _element(tag, (m[4] if m[3] else m[7]) or ""))))
+            opened[tag] += 1
     close()
     return out
 
@@ -141,10 +163,8 @@ def _word_row(word: str) -> int:
 
 
 @lru_cache(maxsize=50_000)
-def _path_rows(path: tuple[str, ...]) -> np.ndarray:
-    own = list(dict.fromkeys(path))
-    leaf = next((w for w in reversed(path) if w[0] == "<"), "<")
-    return np.array([_hash(w, PATH_ROWS) for w in [*own, "leaf" + leaf]])
+def _path_rows(path: tuple[str, ...], leaf: str) -> np.ndarray:
+    return np.array([_hash(w, PATH_ROWS) for w in [*path, leaf]])
 
 
 def _ratios(block: Block, at: int, count: int) -> list[float]:
@@ -178,11 +198,15 @@ class Labeller:
     def run(self, x: np.ndarray, mask: np.ndarray, way: str, trace: list | None = None) -> np.ndarray:
         """States (pages, time, hidden); behind a page's end the state is zero."""
         h, n = HIDDEN, x.shape[1]
-        inner = x @ self.p["w" + way] + self.p["b" + way]
+        span = max(1, CELLS // len(x))
+        inner, held = None, -1
         state, cell = np.zeros((len(x), h), np.float32), np.zeros((len(x), h), np.float32)
         out = np.zeros((len(x), n, h), np.float32)
         for t in range(n) if way == "f" else range(n - 1, -1, -1):
-            a = inner[:, t] + state @ self.p["u" + way]
+            if t // span != held:
+                held = t // span
+                inner = x[:, held * span : (held + 1) * span] @ self.p["w" + way] + self.p["b" + way]
+            a = inner[:, t - held * span] + state @ self.p["u" + way]
             gate = 1 / (1 + np.exp(-a[:, : 3 * h]))
             i, f, o = gate[:, :h], gate[:, h : 2 * h], gate[:, 2 * h :]
             g = np.tanh(a[:, 3 * h :])
@@ -227,8 +251,11 @@ class Labeller:
         """Probability of main text for every block of every page."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for k in range(0, len(order), 64):
-            some = order[k : k + 64]
+        k = len(order)
+        while k:
+            # The longest first; as many pages as stay below CELLS blocks with padding.
+            n = max(1, min(64, CELLS // len(pages[order[k - 1]])))
+            some, k = order[max(0, k - n) : k], max(0, k - n)
             x, mask = self.padded([PageRows(pages[i]) for i in some])
             prob = self.forward(x, mask)[1]
             for i, row in zip(some, prob):
@@ -247,7 +274,7 @@ class PageRows:
     """What a page's blocks look up: rows of path and word vectors, ratios."""
 
     def __init__(self, page: list[Block]):
-        paths = [_path_rows(b.path) for b in page]
+        paths = [_path_rows(b.path, b.leaf) for b in page]
         words = [[_word_row(w) for w in set(b.text.lower().split())] for b in page]
         self.count = len(page)
         self.path = np.concatenate(paths) if page else np.zeros(0, int)

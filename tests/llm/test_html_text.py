@@ -29,12 +29,80 @@ def texts(page):
         ("<ul><li>a<li>b</ul><P CLASS=x>C</P>", ["a", "b", "C"]),
         ("<p>a <b>bold</b> and <a href='x>y'>link</a>.</p>", ["a bold and link."]),
         ("</div></p>text", ["text"]),
+        ('<header><svg class="logo"/></header><p>kept</p><svg a="x/>"><text>no</text></svg><p>too</p>', ["kept", "too"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data=a>fallback</object><template><p>in</p></template>", ["so x=2 holds", "fallback", "in"]),
     ],
 )
 def test_blocks(page, want):
     assert texts(page) == want
 
 
+def test_all_names_of_an_attribute_count():
+    names = " ".join(f"u{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(5))
+    assert ".sidebar" in H.blocks_of(f'<div class="{names} sidebar"><p>x</p></div>')[0].path
+
+
+HAND_MADE = [
+    (
+        """<html><body><header><a href="/">My Site</a></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li></ul></nav>
+        <main><article><h1>Growing tomatoes</h1><p>Tomatoes need sun, water and patience; start the seeds indoors in March.</p>
+        <div class="ad">Buy cheap pots now!</div><p>Plant them outside after the last frost, and keep the soil moist.</p></article>
+        <section class="comments"><h3>Comments</h3><p>Great article, thanks a lot!</p></section></main>
+        <footer><p>&copy; 2024 My Site</p></footer></body></html>""",
+        ["Growing tomatoes", "Tomatoes need sun, water and patience; start the seeds indoors in March.", "Plant them outside after the last frost, and keep the soil moist."],
+    ),
+    (
+        """<body><div class="cookie-notice">We use cookies. <button>Accept</button></div><div id="sidebar"><h3>Related</h3><ul><li><a href=1>Other story</a></li></ul></div>
+        <article class="post"><h1>Council votes</h1><p>The council voted on Tuesday to repair the old bridge over the river.</p><blockquote><p>It was about time, said the mayor.</p></blockquote><p>Work begins in June.</p></article>
+        <form class="newsletter"><p>Subscribe to our newsletter</p></form></body>""",
+        ["Council votes", "The council voted on Tuesday to repair the old bridge over the river.", "It was about time, said the mayor.", "Work begins in June."],
+    ),
+]
+
+
+@pytest.mark.parametrize("k", range(len(HAND_MADE)))
+def test_hand_labelled_pages(spark, net, k):
+    page, want = HAND_MADE[k]
+    got = H.extract(spark.createDataFrame([(k, "u", page)], "page_id long, url string, html string"), net).first()
+    assert got.text.split("\n") == want
+
+
+def test_articles_of_the_table_against_their_markup(spark, net):
+    """Every plain paragraph of an article element stays, short furniture goes."""
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    found = {r.page_id: r.text.split("\n") for r in H.op7_html_text(spark, "/root/testdata/sf0.01").collect()}
+    kept = total = 0
+    for r in rows:
+        for body in re.findall(r"<article\b[^>]*>(.*?)</article>", r.html or "", re.S):
+            for p in re.findall(r"<p>([^<]{40,})</p>", body):
+                total += 1
+                kept += " ".join(H.html.unescape(p).split()) in found[r.page_id]
+        for nav in re.findall(r"<(?:nav|footer)\b[^>]*>(.*?)</(?:nav|footer)>", r.html or "", re.S):
+            for item in re.findall(r"<li>\s*<a[^>]*>([^<]+)</a>\s*</li>", nav):
+                assert " ".join(H.html.unescape(item).split()) not in found[r.page_id]
+    assert total > 500 and kept >= 0.99 * total
+
+
+def test_deep_and_long_pages(net):
+    import time
+
+    began = time.time()
+    deep = H.blocks_of("<div>" * 30_000 + "x" + "<p>y</p></div>" * 30_000)
+    assert len(deep) == 30_001 and time.time() - began < 20
+    pages = [H.blocks_of("<article>" + "<p>some words of an article here.</p>" * 40_000), H.blocks_of("<p>short</p>"), H.blocks_of("")]
+    prob = net.label(pages)
+    assert [len(p) for p in prob] == [40_000, 1, 0] and (prob[0] >= 0.5).all()
+
+
+def test_state_is_handed_on(net, monkeypatch):
+    pages = [H.blocks_of("<nav><p>home</p></nav>" + "<article>" + "<p>one two three. </p>" * n + "</article><footer>end</footer>") for n in (3, 50, 200)]
+    whole = net.label(pages)
+    monkeypatch.setattr(H, "CELLS", 7)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole, net.label(pages)))
+
+
 def test_gradient_is_the_slope_of_the_loss():
     net, r = H.Labeller.fresh(3), np.random.default_rng(4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

@@ -108,6 +108,49 @@ def test_blocks_are_permuted_whole(documents, monkeypatch):
     assert out == again
 
 
+def test_target_that_no_exponent_meets(documents):
+    even = documents([(i, "a b c", None, "xy"[i % 2]) for i in range(40)])
+    with pytest.raises(ValueError, match="no exponent"):
+        mixing.plan_mix(even, max_repeat=None, target_entropy=0.2)
+    with pytest.raises(ValueError, match="no exponent"):
+        mixing.plan_mix(even, max_repeat=2.0, budget=1000.0)
+    # Nearly even sources need an exponent far beyond 8.
+    near = documents([(i, "a b c", None, "xy"[i % 40 > 18]) for i in range(400)])
+    found = mixing.plan_mix(near, max_repeat=None, target_entropy=0.2)[0].collect()
+    assert -sum(r.weight * math.log(r.weight) for r in found) == pytest.approx(0.2, abs=1e-5) and found[0].exponent > 8
+
+
+def test_many_rows_without_ids(documents):
+    rows = [(None, "a b", None, "x")] * 3000 + [(i, "a b c", None, "y") for i in range(100)]
+    out = mixing.mix(documents(rows), max_repeat=1.5).collect()
+    per = Counter(r.source for r in out)
+    assert per["x"] == 3000 and 100 <= per["y"] <= 150
+
+
+def test_query(spark):
+    """Copies, epochs and places against the plan, for the whole table."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    per = Counter()
+    for r in docs.values():
+        per[r.source] += tokens(r.text)
+    total = sum(per.values())
+    a = exponent([n / total for n in per.values()], total, 4.0)
+    z = sum((n / total) ** a for n in per.values())
+    spent, epochs = Counter(), {}
+    out = mixing.op6_mixing(spark, sf).collect()
+    for r in out:
+        assert r.source == docs[r.doc_id].source and r.n_tokens == tokens(docs[r.doc_id].text)
+        assert r.weight == pytest.approx((per[r.source] / total) ** a / z, rel=1e-4) and 0 <= r.place <= 1
+        spent[r.source] += r.n_tokens
+        epochs.setdefault(r.doc_id, []).append(r.epoch)
+    assert set(epochs) == set(docs) and all(sorted(e) == list(range(len(e))) for e in epochs.values())
+    repeats = {r.source: r.repeats for r in out}
+    longest = max(tokens(r.text) for r in docs.values())
+    assert max(repeats.values()) <= 4.0001 and min(repeats.values()) == pytest.approx(1)
+    assert all(per[s] * repeats[s] - longest <= spent[s] <= per[s] * repeats[s] * (1 + 1e-6) + 1 for s in per)
+
+
 def test_small_tables(documents):
     assert mixing.mix(documents([])).count() == 0
     odd = [(None, None, None, None), (None, None, None, None), (1, "", None, "s"), (1, "", None, "s")]
