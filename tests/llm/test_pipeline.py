@@ -75,6 +75,33 @@ def test_tokens_of_every_document(stages):
     assert sorted((r.doc_id, r.n_tokens) for r in stages[5].collect()) == want
 
 
+def test_files_keep_the_order_of_the_mix(spark, stages):
+    stored = [r.doc_id for r in stages[4].select("doc_id", "_metadata.file_name", "_metadata.row_index").sort("file_name", "row_index").collect()]
+    assert [r.doc_id for r in stages[5].sort("start").collect()] == stored
+    assert stored != sorted(stored)
+    # Sources lie mixed: each quarter has them all in like shares.
+    source = {r.doc_id: r.source for r in stages[0].collect()}
+    share = Counter(source[d] for d in stored)
+    for k in range(4):
+        part = stored[k * len(stored) // 4 : (k + 1) * len(stored) // 4]
+        assert all(abs(sum(source[d] == s for d in part) - n / 4) <= 6 + n / 8 for s, n in share.items())
+
+
+def test_nulls_repeated_rows_long_texts_and_clashing_columns(spark, documents):
+    r = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}" for a in ("the", "and", "der", "und", "ein", "of") for b in ("ing", "heit", "er", "lich", "tion", "ed")]
+    text = lambda n: " ".join(r.choice(vocabulary, n))
+    rows = [(i, text(60), ["en", "de"][i % 2], "ab"[i % 2]) for i in range(30)]
+    rows += [(None, text(40), None, None), (None, None, None, None), (3, rows[3][1], "en", "a"), (3, rows[3][1], "en", "a"), (50, "", "en", "a"), (51, text(60_000), "en", "b"), (52, "12 34", None, "b"), (53, text(50), "und", None)]
+    docs = documents(rows, clash=True)
+    for name, stage in corpus_pipeline.STAGES:
+        out = scratch.written(stage(spark, docs, SF), f"odd-{name}")
+        assert out.columns == docs.columns or name == "token_ids"
+        docs = out
+    kept = Counter(x.doc_id for x in docs.collect())
+    assert set(kept) == {*range(30), None, 51, 53}
+
+
 def test_empty_table(spark, documents):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
