@@ -11,19 +11,25 @@ from pyspark.sql import SparkSession
 _own: dict[str, str] = {}
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the session's ``spark.checkpoint.dir``; in local mode,
-    where that may be unset, below a folder of this process."""
+def shared_base(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; in local mode, where it may be unset,
+    a folder of this process. A cluster without the setting is an error: a
+    machine-local folder would be seen by one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if "dir" not in _own:
-            _own["dir"] = tempfile.mkdtemp(prefix="keystrata-store-")
-            atexit.register(_clear, _own["dir"])
-        base = f"file://{_own['dir']}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="keystrata-")
+        atexit.register(_clear, _own["dir"])
+    return f"file://{_own['dir']}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _clear(path: str) -> None:
