@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -18,28 +17,13 @@ from pyspark.sql import functions as F
 
 from ..sources import shared
 
-_own: dict[str, str] = {}
 _kept: dict[tuple, Any] = {}
 _made: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; in local mode, where it may be
-    unset, a folder of this process. A cluster without the setting is an error:
-    a machine-local folder would be seen by one machine only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="keystrata-")
-    return _own["dir"]
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the process ends."""
-    path = f"{shared_dir(spark)}/keystrata-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared.shared_base(spark)}/keystrata-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
     _made.append((spark, path))
     return path
 
