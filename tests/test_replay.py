@@ -115,3 +115,12 @@ def test_stream_equals_batch_and_goes_on(spark, tmp_path):
     ops_of(spark, [("0", 3, "update", "late")]).coalesce(1).write.mode("append").parquet(source)
     done = run_available(spark.readStream.schema(SCHEMA).parquet(source), out, check)
     assert done.where("reply = 'late'").count() == 1
+
+
+def test_catalogue_replays_by_one_shuffle(spark):
+    """With a bound for hot keys that no key reaches, nothing of the spans is planned."""
+    from keystrata.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    plan = replay.replies(catalog._ops(spark, sf), catalog.HOT_OPS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
