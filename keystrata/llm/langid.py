@@ -18,7 +18,7 @@ and those without a label are never in it.
 
 ``keep_identified`` rejects documents without a letter and those whose score lies
 below the network's ``least``. Every fifth document of the sample is kept out of
-the fit for it: ``least`` lies a quarter of the way from chance (one language in
+the fit for it: ``least`` lies a tenth of the way from chance (one language in
 so many) to the lowest score of these, so what goes is text that no language fits
 better than chance. With nothing to learn from, all with a letter stay.
 
@@ -271,7 +271,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     net = train_network(fit, seed)
     chance = 1 / len(net.langs)
     lowest = min((s for _, s in net.predict([t for t, _ in rest])), default=chance)
-    return ByteGRU(net.langs, net.p, 0.99 * (0.75 * chance + 0.25 * lowest))
+    return ByteGRU(net.langs, net.p, 0.99 * (0.9 * chance + 0.1 * lowest))
 
 
 def identify(docs: DataFrame, net: ByteGRU | None, text_col: str = "text") -> DataFrame:
