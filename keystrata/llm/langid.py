@@ -9,18 +9,24 @@ every byte of a text is labelled once, and no state depends on the text's length
 Windows of many texts run side by side, ordered by length.
 
 The network is trained here, in numpy, by backpropagation through time (Adam on
-the cross entropy of every byte's label). Its sample is bounded: the ``MAX_LANGS``
-most frequent languages, ``SAMPLE_DOCS`` documents in all, the same number per
-language and chosen by a hash of the id, and of each a stretch of
+the cross entropy of every byte's label). It starts from a bounded sample: the
+``MAX_LANGS`` most frequent languages, ``SAMPLE_DOCS`` documents in all, the same
+number per language and chosen by a hash of the id, and of each a stretch of
 ``SAMPLE_CHARS`` characters at a place drawn by hash; ``SAMPLE_CUTS`` sequences
-per language are cut from these. Documents that are held out, crc32(id) mod 4 = 2,
-and those without a label are never in it.
+per language are cut from these. ``train`` then goes once over every byte of every
+document of these languages: each task fits the network to all texts of its
+partition, in sequences of ``LENGTH`` bytes that weigh so that the languages count
+alike, and the tasks' parameters are averaged by the bytes they saw (the figures
+therefore depend a little on how the table is dealt to partitions). ``whole=False``
+leaves that out. Documents that are held out, crc32(id) mod 4 = 2, and those
+without a label are never learnt from.
 
 ``keep_identified`` rejects documents without a letter and those whose score lies
-below the network's ``least``. Every fifth document of the sample is kept out of
-the fit for it: ``least`` lies a tenth of the way from chance (one language in
-so many) to the lowest score of these, so what goes is text that no language fits
-better than chance. With nothing to learn from, all with a letter stay.
+below the network's ``least``, a tenth of the way from chance (one language in so
+many) to the lowest score of all documents learnt from, so what goes is text that
+no language fits better than chance, and none of those documents. (With
+``whole=False``: of every fifth document of the sample, kept out of the fit.) With
+nothing to learn from, all with a letter stay.
 
 Defined results
     null text or no letter: ``und`` with score 0. Nothing to learn from (empty
@@ -48,6 +54,9 @@ EMBED, HIDDEN = 8, 12
 #: Lengths of the sequences that the network is trained on.
 LENGTHS = (16, 40, 96)
 EPOCHS, BATCH, STEP = 2, 192, 0.02
+#: The pass over all texts: bytes and number of sequences of a step, steps between
+#: which sequences are shuffled, and the step's size.
+LENGTH, ROWS, HELD_STEPS, WHOLE_STEP = 96, 1024, 8, 0.001
 #: Positions times languages that run side by side, and characters held at once.
 CELLS, CHUNK_CHARS = 8_000_000, 2_000_000
 #: Stands behind a sequence's end; its update gate is shut, so states stay.
@@ -191,6 +200,122 @@ class ByteGRU:
             g["embed"] += into @ p["w" + way].T
         return float(loss), g
 
+    def wide_gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """As ``gradient``, for many sequences that stand in columns (time,
+        sequences), with a weight for each position; ``PAD`` stands behind an end."""
+        h, p, (n, m) = HIDDEN, self.p, x.shape
+        states, traces = np.empty((n, 2 * h, m), np.float32), []
+        for k, way in enumerate("fb"):
+            table = np.zeros((3 * h, 257), np.float32)
+            table[:, :256] = (p["embed"] @ p["w" + way] + p["b" + way]).T
+            table[:h, PAD] = 80
+            u, state = np.ascontiguousarray(p["u" + way].T), np.zeros((h, m), np.float32)
+            gates, new, bn = np.empty((n, 2 * h, m), np.float32), np.empty((n, h, m), np.float32), np.empty((n, h, m), np.float32)
+            for t in range(n) if way == "f" else range(n - 1, -1, -1):
+                a, b, g = np.take(table, x[t], axis=1, mode="clip"), u @ state, gates[t]
+                np.add(a[: 2 * h], b[: 2 * h], out=g)
+                g *= 0.5
+                np.tanh(g, out=g)
+                g *= 0.5
+                g += 0.5
+                bn[t] = b[2 * h :]
+                np.multiply(g[h:], bn[t], out=new[t])
+                new[t] += a[2 * h :]
+                np.tanh(new[t], out=new[t])
+                after = states[t, k * h : (k + 1) * h]
+                np.subtract(state, new[t], out=after)
+                after *= g[:h]
+                after += new[t]
+                state = after
+            traces.append((gates, new, bn))
+        prob = np.matmul(p["out"].T, states)
+        prob += p["bias"][:, None]
+        prob -= prob.max(axis=1, keepdims=True)
+        np.exp(prob, out=prob)
+        prob /= prob.sum(axis=1, keepdims=True)
+        prob[:, y, np.arange(m)] -= 1
+        prob *= (weight / weight.sum())[:, None, :].astype(np.float32)
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        g["out"] = np.matmul(states, prob.transpose(0, 2, 1)).sum(axis=0)
+        g["bias"] = prob.sum(axis=(0, 2))
+        back = np.matmul(p["out"], prob)
+        x = np.minimum(x, 255)  # what stands on PAD has no gradient
+        embed, into = np.ascontiguousarray(p["embed"].T), np.zeros((EMBED, n, m), np.float32)
+        for k, way in enumerate("fb"):
+            (gates, new, bn), u, w = traces[k], p["u" + way], p["w" + way]
+            carry, da, db = np.zeros((h, m), np.float32), np.empty((3 * h, m), np.float32), np.empty((3 * h, m), np.float32)
+            for t in range(n - 1, -1, -1) if way == "f" else range(n):
+                first = t == (0 if way == "f" else n - 1)
+                before = np.zeros((h, m), np.float32) if first else states[t + (-1 if way == "f" else 1), k * h : (k + 1) * h]
+                z, r, at = gates[t, :h], gates[t, h:], new[t]
+                d = back[t, k * h : (k + 1) * h] + carry
+                dz = d * z
+                shut = d - dz  # d * (1 - z)
+                np.multiply(shut, z, out=db[:h])
+                db[:h] *= before - at
+                dn = da[2 * h :]
+                np.multiply(shut, 1 - at * at, out=dn)
+                np.multiply(dn, r, out=db[2 * h :])
+                np.multiply(db[2 * h :], (1 - r) * bn[t], out=db[h : 2 * h])
+                da[: 2 * h] = db[: 2 * h]
+                g["u" + way] += before @ db.T
+                g["b" + way] += da.sum(axis=1)
+                g["w" + way] += np.take(embed, x[t], axis=1) @ da.T
+                into[:, t] += w @ da
+                carry = u @ db
+                carry += dz
+        for j in range(EMBED):
+            g["embed"][:, j] = np.bincount(x.reshape(-1), into[j].reshape(-1), 256)
+        return g
+
+    def fit_whole(self, rows: Iterator[tuple[str, str]], weights: dict[str, float]) -> tuple["ByteGRU", int]:
+        """Fits a copy to every byte of all (text, language) pairs, and tells how
+        many bytes these were."""
+        net, seen, r = ByteGRU(self.langs, {k: v.copy() for k, v in self.p.items()}), 0, np.random.default_rng(0)
+        adam, number = Adam(net.p), {lang: i for i, lang in enumerate(self.langs)}
+        held, labels = [], []
+
+        def run() -> None:
+            x, y = np.concatenate(held), np.array(labels)
+            share = np.array([weights[lang] for lang in self.langs], np.float32)[y]
+            order = r.permutation(len(x))
+            for a in range(0, len(x), ROWS):
+                part = order[a : a + ROWS]
+                cut = np.ascontiguousarray(x[part].T)
+                adam.step(net.p, net.wide_gradient(cut, y[part], (cut != PAD) * share[part]), WHOLE_STEP * min(1.0, len(part) / ROWS))
+
+        for text, lang in rows:
+            raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+            seen += len(raw)
+            for a in range(0, len(raw), LENGTH * ROWS * HELD_STEPS):
+                part = raw[a : a + LENGTH * ROWS * HELD_STEPS]
+                x = np.full(-(-len(part) // LENGTH) * LENGTH, PAD, np.int16)
+                x[: len(part)] = part
+                held.append(x.reshape(-1, LENGTH))
+                labels += [number[lang]] * len(held[-1])
+                if len(labels) >= ROWS * HELD_STEPS:
+                    run()
+                    held, labels = [], []
+        if labels:
+            run()
+        return net, seen
+
+
+class Adam:
+    """Adam on gradients whose norm is at most 1."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.m, self.v, self.k = {n: np.zeros_like(x) for n, x in p.items()}, {n: np.zeros_like(x) for n, x in p.items()}, 0
+
+    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
+        self.k += 1
+        norm = np.sqrt(sum(float((x**2).sum()) for x in g.values()))
+        scale = min(1.0, 1.0 / (norm + 1e-9))
+        for name in p:
+            self.m[name] = 0.9 * self.m[name] + 0.1 * g[name] * scale
+            self.v[name] = 0.99 * self.v[name] + 0.01 * (g[name] * scale) ** 2
+            p[name] -= (rate * (self.m[name] / (1 - 0.9**self.k)) / (np.sqrt(self.v[name] / (1 - 0.99**self.k)) + 1e-8)).astype(np.float32)
+
 
 def windows(n: int) -> list[tuple[int, int]]:
     """The runs of bytes that a text of n bytes is labelled in."""
@@ -221,17 +346,11 @@ def train_network(texts: list[tuple[str, str]], seed: int = 0) -> ByteGRU:
         x, y = np.frombuffer(b"".join(w for w, _ in rows), np.uint8).reshape(-1, n), np.array([i for _, i in rows])
         order = r.permutation(len(rows))
         batches += [(x[order[j : j + BATCH]], y[order[j : j + BATCH]]) for j in range(0, len(rows), BATCH)]
-    m, v, k, steps = {n: np.zeros_like(x) for n, x in net.p.items()}, {n: np.zeros_like(x) for n, x in net.p.items()}, 0, EPOCHS * len(batches)
+    adam, steps = Adam(net.p), EPOCHS * len(batches)
     for _ in range(EPOCHS):
         for b in r.permutation(len(batches)):
             _, g = net.gradient(*batches[b])
-            k += 1
-            norm = np.sqrt(sum(float((x**2).sum()) for x in g.values()))
-            rate, scale = STEP * (1 - 0.95 * k / steps), min(1.0, 1.0 / (norm + 1e-9))
-            for name in net.p:
-                m[name] = 0.9 * m[name] + 0.1 * g[name] * scale
-                v[name] = 0.99 * v[name] + 0.01 * (g[name] * scale) ** 2
-                net.p[name] -= (rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
+            adam.step(net.p, g, STEP * (1 - 0.95 * (adam.k + 1) / steps))
     return ByteGRU(langs, net.p)
 
 
@@ -245,12 +364,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> ByteGRU | None:
-    """Fits to the bounded sample; None if there is nothing to learn from. Two
-    scans: the labels' counts, and the sample itself."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0, whole: bool = True) -> ByteGRU | None:
+    """Fits to the bounded sample and then to all documents; None if there is nothing
+    to learn from. Four scans: the labels' counts, the sample, the fit and the scores
+    of all documents learnt from; two without ``whole``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("id").isNotNull() & F.col("text").isNotNull())
-    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    langs = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not langs:
         return None
     each = max(8, SAMPLE_DOCS // max(4, len(langs)))
@@ -270,10 +390,35 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     net = train_network(fit, seed)
     chance = 1 / len(net.langs)
+    if whole:
+        learnt = usable.where(F.col("lang").isin(net.langs)).select("text", "lang")
+        net = _fitted(learnt, net, {r.lang: 1 / max(1, r["size"]) for r in langs})
+        lowest = identify(learnt, net).where(F.col("lang_pred") != "und").agg(F.min("score")).first()[0]
+        return ByteGRU(net.langs, net.p, 0.99 * (0.9 * chance + 0.1 * (chance if lowest is None else lowest)))
     lowest = min((s for _, s in net.predict([t for t, _ in rest])), default=chance)
     return ByteGRU(net.langs, net.p, 0.99 * (0.9 * chance + 0.1 * lowest))
 
 
+def _fitted(rows: DataFrame, net: ByteGRU, weights: dict[str, float]) -> ByteGRU:
+    """The mean of the networks that the tasks fit to all their rows (text, lang)."""
+    scratch.ship(rows.sparkSession)
+    langs, p = net.langs, net.p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((t.as_py(), lang.as_py()) for batch in batches for t, lang in zip(*batch.columns))
+        own, seen = ByteGRU(langs, p).fit_whole(pairs, weights)
+        if seen:
+            flat = np.concatenate([own.p[n].reshape(-1) for n in own.NAMES]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], ["at", "value", "seen"])
+
+    sums = rows.mapInArrow(run, "at long, value double, seen long").groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value"))
+    flat = np.array([r.value for r in sums.orderBy("at").collect()], np.float32)
+    if not len(flat):
+        return net
+    ends = np.cumsum([p[n].size for n in net.NAMES])
+    return ByteGRU(langs, {n: part.reshape(p[n].shape) for n, part in zip(net.NAMES, np.split(flat, ends[:-1]))})
+
+
 def identify(docs: DataFrame, net: ByteGRU | None, text_col: str = "text") -> DataFrame:
     """own (a struct of all the row's columns), lang_pred and score."""
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
@@ -308,5 +453,5 @@ def keep_identified(docs: DataFrame, net: ByteGRU | None, least: float | None =
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    found = identify(docs.select("doc_id", "text"), train(docs))
+    found = identify(docs.select("doc_id", "text"), train(docs, whole=False))
     return found.select(F.col("own.doc_id").alias("doc_id"), held_out(F.col("own.doc_id")).alias("held_out"), "lang_pred", "score")

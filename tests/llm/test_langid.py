@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import langid
 
@@ -101,3 +102,35 @@ def test_nothing_to_learn_from(documents):
     assert langid.train(documents([])) is None
     assert langid.train(documents([(1, "word")])) is None
     assert [r.lang_pred for r in langid.identify(documents([(1, "word")]), None).collect()] == ["und"]
+
+
+def test_wide_gradient_is_the_gradient():
+    net = langid.ByteGRU.fresh(["a", "b", "c"], 1)
+    r = np.random.default_rng(2)
+    x, y = r.integers(0, 256, (9, 20)), r.integers(0, 3, 9)
+    _, want = net.gradient(x, y)
+    padded, weight = np.full((25, 9), langid.PAD), np.zeros((25, 9))
+    padded[:20], weight[:20] = x.T, 2
+    got = net.wide_gradient(padded, y, weight)
+    assert all(np.abs(got[name] - want[name]).max() <= 1e-5 for name in net.NAMES)
+
+
+def test_fit_reads_every_byte():
+    net = langid.ByteGRU.fresh(["a", "b"], 1)
+    rows = [("the ü ", "a"), ("", "b"), ("der " * 250_000, "b"), ("und", "b")]
+    fitted, seen = net.fit_whole(iter(rows), {"a": 0.5, "b": 0.5})
+    assert seen == sum(len(t.encode()) for t, _ in rows)
+    assert all((fitted.p[name] != net.p[name]).any() for name in net.NAMES)
+
+
+def test_threshold_is_of_all_documents_learnt_from(documents):
+    """A document between three languages, learnt from but not in the sample."""
+    odd = next(i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    words = {"en": "the and of to is ", "de": "der und die das ", "fr": "les des et la le "}
+    rows = [(2000 * k + i, text * 4, lang, "s") for k, (lang, text) in enumerate(words.items()) for i in range(1500)]
+    docs = documents([*rows, (odd, "".join(words.values()) * 6, "en", "s")])
+    for net, same in ((langid.train(docs), True), (langid.train(docs, whole=False), False)):
+        found = langid.identify(docs, net).where(~langid.held_out(F.col("own.doc_id")))
+        lowest = found.agg(F.min("score")).first()[0]
+        assert lowest == found.where(f"own.doc_id = {odd}").first().score
+        assert (net.least == pytest.approx(0.99 * (0.9 / 3 + 0.1 * lowest), abs=1e-6)) == same
