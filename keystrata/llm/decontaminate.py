@@ -67,6 +67,11 @@ def _seeds(rows: DataFrame, masks: list[str], *carried: str) -> DataFrame:
     return placed.select(*carried, "w", "at", made).where("seed IS NOT NULL")
 
 
+def _no_seeds(spark: SparkSession) -> DataFrame:
+    """An empty table of seeds, which no Python worker has to read."""
+    return spark.range(0, 0, 1, 1).selectExpr("id AS item", "CAST(id AS INT) AS item_at", "id AS seed")
+
+
 def _part_seeds(items: DataFrame) -> tuple[DataFrame, list[str]]:
     """item, item_at and seed of the parts of which one survives all substitutions
     that an item may have, and the masks they are laid out by."""
@@ -76,7 +81,7 @@ def _part_seeds(items: DataFrame) -> tuple[DataFrame, list[str]]:
     parts = parts.withColumns({"at": F.expr("cast(part * size(w) div parts AS int)"), "end": F.expr("cast((part + 1) * size(w) div parts AS int)")})
     parts = scratch.written(parts.withColumn("n", F.col("end") - F.col("at")), "parts")
     masks = ["1" * r[0] for r in sorted(parts.select("n").distinct().collect())]
-    seeds = items.sparkSession.createDataFrame([], "item long, item_at int, seed long")
+    seeds = _no_seeds(items.sparkSession)
     for m in masks:
         seeds = seeds.unionByName(parts.where(F.col("n") == len(m)).select("item", F.col("at").alias("item_at"), F.expr(_seed(m, "w", "at")).alias("seed")))
     return seeds, masks
@@ -138,7 +143,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     short = [r[0] for r in items.where(F.size("w") < max(map(len, MASKS))).select(F.size("w")).distinct().collect()]
     masks = [*MASKS, *("1" * n for n in sorted(short))]
     # A run of ones as long as an item is meant for items of that length only.
-    seeds = spark.createDataFrame([], "item long, item_at int, seed long")
+    seeds = _no_seeds(spark)
     for k, m in enumerate(masks):
         own = items.where(F.size("w") == len(m)) if k >= len(MASKS) else items
         seeds = seeds.unionByName(_seeds(own, [m], "item").select("item", F.col("at").alias("item_at"), "seed"))

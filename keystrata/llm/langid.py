@@ -406,7 +406,8 @@ def _fitted(rows: DataFrame, net: ByteGRU, weights: dict[str, float]) -> ByteGRU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = ((t.as_py(), lang.as_py()) for batch in batches for t, lang in zip(*batch.columns))
-        own, seen = ByteGRU(langs, p).fit_whole(pairs, weights)
+        own, seen = network_of(langs, p).fit_whole(pairs, weights)  # frees what another stage kept
+        scratch.give_back()
         if seen:
             flat = np.concatenate([own.p[n].reshape(-1) for n in own.NAMES]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], ["at", "value", "seen"])
@@ -428,18 +429,22 @@ def identify(docs: DataFrame, net: ByteGRU | None, text_col: str = "text") -> Da
     scratch.ship(docs.sparkSession)
     langs, p = net.langs, net.p
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only the texts go to the Python workers, and only labels and scores come back:
+    # an executor holds the rows' other columns once.
+    @F.arrow_udf("lang_pred string, score double")
+    def labels(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = network_of(langs, p)
         for batch in batches:
-            size = pa.compute.utf8_length(batch.column(1)).fill_null(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // CHUNK_CHARS)) + 1), batch.num_rows]
+            size = pa.compute.utf8_length(batch).fill_null(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // CHUNK_CHARS)) + 1), len(batch)]
             found = []
             for a, b in zip(cuts, cuts[1:]):
-                found += net.predict(batch.column(1).slice(a, b - a).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["own", "lang_pred", "score"])
+                found += net.predict(batch.slice(a, b - a).to_pylist())
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang_pred", "score"])
+        scratch.give_back()
 
-    kind = rows.schema["own"].dataType.simpleString()
-    return rows.mapInArrow(run, f"own {kind}, lang_pred string, score double")
+    # Else the optimiser may run it once per column and filter that reads it.
+    return rows.select("own", labels.asNondeterministic()("text").alias("found")).select("own", "found.lang_pred", "found.score")
 
 
 def keep_identified(docs: DataFrame, net: ByteGRU | None, least: float | None = None, text_col: str = "text") -> DataFrame:

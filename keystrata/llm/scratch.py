@@ -7,11 +7,13 @@ reading it back, so a lost executor costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,22 @@ def worker_memo(key: tuple, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system; between its tasks it
+    would hold the largest batch that it ever read."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def listed(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A small table of the driver's. It goes by way of Arrow: rows that are pickled
+    are read by a second set of Python workers, which every executor then keeps."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable by the Python workers of every executor."""
     shared.ship(spark)

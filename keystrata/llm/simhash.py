@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
         for batch in batches:
             found = [fingerprint(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        scratch.give_back()
 
     return rows.mapInArrow(run, "doc_id long, fp long")
 

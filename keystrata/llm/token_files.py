@@ -406,6 +406,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, n_shards: in
         if writer is None:
             return
         writer.close()
+        scratch.give_back()
         schema = pa.schema([("name", pa.string()), ("rows", pa.int64()), ("ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
         yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*writer.made)))), schema)
 
@@ -441,7 +442,7 @@ def read_tokens(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     schema = "doc_id long, shard string, start long, n_tokens long, ids_crc32 long"
     if not manifest:
         return spark.createDataFrame([], schema)
-    listing = spark.createDataFrame([(m["folder"], m["name"], m["before"]) for m in manifest], "folder string, name string, before long")
+    listing = scratch.listed(spark, {name: [m[name] for m in manifest] for name in ("folder", "name", "before")})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

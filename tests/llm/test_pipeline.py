@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from keystrata.llm import langid, mixing, scratch, simhash, token_files
+from keystrata.llm import decontaminate, langid, mixing, scratch, simhash, token_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,3 +112,22 @@ def test_empty_table(spark, documents):
 def test_network_is_learnt_from_the_stages_own_input(spark, documents):
     docs = documents([(i, "the and of to " * 5, "en", "s") for i in range(8)] + [(10 + i, "der und die das " * 5, "de", "s") for i in range(8)])
     assert langid.train(docs).langs == ["de", "en"]
+
+
+def lineage(df):
+    return df._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_language_stage_sends_only_texts_to_python(documents):
+    docs = documents([(1, "the and of to " * 5, "en", "s"), (2, "der und die das " * 5, "de", "s")], clash=True)
+    plan = langid.keep_identified(docs, langid.ByteGRU.fresh(["de", "en"]))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [labels(text#") == 1
+
+
+def test_no_second_set_of_python_workers(spark, tmp_path):
+    """Pickled rows are read by Python workers of their own, which stay."""
+    assert "PythonRDD" in lineage(spark.createDataFrame([(1, "a")], "a long, b string"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(20)
+    assert "PythonRDD" not in lineage(token_files.read_tokens(spark, token_files.write_tokens(docs, token_files.tokenizer_path(), str(tmp_path))))
+    items = spark.range(1).selectExpr("id AS item_id", "'one two three four five six seven eight nine ten' AS text")
+    assert "PythonRDD" not in lineage(decontaminate.decontaminate(docs, items, whole_items=True))
