@@ -19,13 +19,13 @@ from pyspark.sql.window import Window
 
 from ..functions import keys, protocol
 from ..plans import replay
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, stored
 from . import sessions
 
 DOCUMENT_COMMANDS = ("save", "save_key", "lookup", "update", "delete")
 FIRST_SEQ = -(2**63)
-#: Databases whose lives are broadcast.
-BROADCAST_LIVES = 100_000
+#: Groups that requests which name no database are dealt to.
+NAMELESS = 1024
 
 
 def catalogue(lines: DataFrame, existing: DataFrame | None) -> DataFrame:
@@ -41,18 +41,22 @@ def catalogue(lines: DataFrame, existing: DataFrame | None) -> DataFrame:
 
 
 def lives(replayed: DataFrame) -> DataFrame:
-    """name, life (1, 2, ... per name), from and to: the requests between which a
-    database is there (to is null to the end)."""
-    order = Window.partitionBy("key").orderBy("seq")
+    """name, seq and turn of the requests that begin or end a database: turn holds
+    the life (1, 2, ... per name) that begins, null where one ends."""
     turns = replayed.where(F.col("eff_save") | F.col("eff_delete"))
-    turns = turns.withColumn("to", F.lead("seq").over(order)).where("eff_save")
-    return turns.select(F.col("key").alias("name"), F.col("incarnation").alias("life"), F.col("seq").alias("from"), "to")
+    return turns.select(F.col("key").alias("name"), "seq", F.struct(F.when(F.col("eff_save"), F.col("incarnation")).alias("life")).alias("turn"))
 
 
-def _alive(rows: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-    """Adds life, null where the database that ``name`` names isn't there."""
-    at = (F.col(name) == F.col("name")) & (F.col("seq") > F.col("from")) & (F.col("to").isNull() | (F.col("seq") < F.col("to")))
-    return rows.join(spans, at, "left").drop("name", "from", "to")
+def _alive(rows: DataFrame, turns: DataFrame, name: str, hot_ops: int | None = None) -> DataFrame:
+    """Adds life, null where the database that ``name`` names isn't there: the name's
+    last turn before the row. Rows and turns are sorted together, as a join of each
+    row with every life of its database would grow with the square of the log."""
+    at = F.coalesce(F.col(name), F.concat(F.lit("/"), F.pmod(F.xxhash64("session", "seq"), F.lit(NAMELESS)).cast("string")))
+    # A database isn't there yet at the request that begins it, and no more at the one that ends it.
+    turns = turns.select(F.col("name").alias("_at"), "seq", F.col("turn").alias("_turn"), F.when(F.col("turn.life").isNull(), 0).otherwise(2).alias("_rank"))
+    both = rows.withColumns({"_at": at, "_rank": F.lit(1), "_asks": F.lit(True)}).unionByName(turns, allowMissingColumns=True)
+    out = sessions.so_far(both, "_at", "_turn", "_now", hot_ops).where("_asks")
+    return out.withColumn("life", F.col("_now.life")).drop("_at", "_rank", "_asks", "_now")
 
 
 def answer(lines: DataFrame, existing: DataFrame | None = None, live: DataFrame | None = None, policy: str = "strict", hot_ops: int | None = None, selected: DataFrame | None = None) -> DataFrame:
@@ -60,20 +64,19 @@ def answer(lines: DataFrame, existing: DataFrame | None = None, live: DataFrame
     version of every line. ``existing`` (name) and ``live`` (db, key, version, doc)
     are what the lines start from, ``selected`` (session, db) what sessions have
     connected to before. Saves without a key get one made of seq."""
-    parsed = protocol.parse(lines.select("session", "seq", "raw"))
+    parsed = protocol.parse(lines.select("session", "seq", "raw")).drop("raw")
     command = F.col("command")
+    # A log of no more lines than that has no hot key at any step.
+    hot_ops = hot_ops if hot_ops is not None and lines.count() > hot_ops else None
     replayed = catalogue(parsed, existing)
-    spans = lives(replayed)
-    spans = F.broadcast(spans) if spans.count() <= BROADCAST_LIVES else spans
-    connects = _alive(parsed.withColumn("_asked", F.when(command == "connect", F.col("args"))), spans, "_asked")
-    chosen = connects.withColumn("_chosen", F.when(F.col("life").isNotNull(), F.col("_asked"))).drop("_asked", "life")
+    turns = lives(replayed)
+    asked = parsed.where(command == "connect").select("session", "seq", F.col("args").alias("_chosen"))
+    chosen = _alive(asked, turns, "_chosen", hot_ops).where(F.col("life").isNotNull()).drop("life")
     if selected is not None:
-        before = selected.select("session", F.lit(FIRST_SEQ).alias("seq"), F.col("db").alias("_chosen"))
-        chosen = chosen.withColumn("_line", F.lit(True)).unionByName(before, allowMissingColumns=True)
-        chosen = sessions.running_database(chosen, hot_ops).where("_line").drop("_line")
-    else:
-        chosen = sessions.running_database(chosen, hot_ops)
-    rows = _alive(chosen, spans, "db")
+        chosen = chosen.unionByName(selected.select("session", F.lit(FIRST_SEQ).alias("seq"), F.col("db").alias("_chosen")))
+    both = parsed.withColumns({"_line": F.lit(True), "_rank": F.lit(1)}).unionByName(chosen.withColumn("_rank", F.lit(0)), allowMissingColumns=True)
+    rows = _alive(sessions.running_database(both, hot_ops).where("_line").drop("_line", "_rank"), turns, "db", hot_ops)
+    rows = rows if hot_ops is None else stored(rows, "lines")
     key = F.when(command == "save", keys.generated(F.col("seq"))).otherwise(F.col("key"))
     good = keys.in_domain(key) if policy == "strict" else key.isNotNull()
     written = F.when(good, keys.canonical(key)).otherwise(key) if policy == "strict" else key

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans import replay
+from ..sources.shared import stored
 
 NAME = r"\A[A-Za-z0-9_]{1,40}\z"
 
@@ -47,18 +48,27 @@ def selected_database(commands: DataFrame, databases: DataFrame, hot_commands: i
 def running_database(rows: DataFrame, hot_commands: int | None = None) -> DataFrame:
     """Turns ``_chosen`` (the database that a command selects, or null) into ``db``,
     the last one selected in the session so far."""
-    hot = replay.hot_keys(rows, "session", hot_commands)
+    return so_far(rows, "session", "_chosen", "db", hot_commands)
 
-    def so_far(*keys: str) -> Column:
-        return F.last("_chosen", ignorenulls=True).over(Window.partitionBy("session", *keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+
+def so_far(rows: DataFrame, key: str, value: str, name: str, hot_rows: int | None = None) -> DataFrame:
+    """Turns ``value`` into ``name``, the last one that isn't null among the key's rows
+    up to this one, by seq and, where there is such a column, ``_rank``. Keys of over
+    ``hot_rows`` rows are cut into spans."""
+    order = ["seq", *(c for c in rows.columns if c == "_rank")]
+    hot = replay.hot_keys(rows, key, hot_rows)
+
+    def last(*keys: str) -> Column:
+        return F.last(value, ignorenulls=True).over(Window.partitionBy(key, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
     if hot is None:
-        return rows.withColumn("db", so_far()).drop("_chosen")
-    names = [*(c for c in rows.columns if c != "_chosen"), "db"]
-    cold = rows.join(hot, "session", "left_anti").withColumn("db", so_far())
-    spans = replay.with_spans(rows.join(hot, "session", "left_semi"), "session", hot_commands)
-    ends = spans.groupBy("session", "_span").agg(F.max_by("_chosen", F.when(F.col("_chosen").isNotNull(), F.col("seq"))).alias("_end"))
-    earlier = Window.partitionBy("session").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("session", "_span", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    warm = spans.join(ends, ["session", "_span"]).withColumn("db", F.coalesce(so_far("_span"), "_carried"))
+        return rows.withColumn(name, last()).drop(value)
+    names = [*(c for c in rows.columns if c != value), name]
+    rows = stored(rows, "so-far")
+    cold = rows.join(hot, key, "left_anti").withColumn(name, last())
+    spans = replay.with_spans(rows.join(hot, key, "left_semi"), key, hot_rows)
+    ends = spans.groupBy(key, "_span").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(key, "_span", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    warm = spans.join(ends, [key, "_span"]).withColumn(name, F.coalesce(last("_span"), "_carried"))
     return cold.select(names).unionByName(warm.select(names))

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -32,6 +32,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written below the shared folder and read from there: for plans that
+    read them many times."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _clear(path: str) -> None:
     import shutil
 

@@ -216,3 +216,14 @@ def test_requests_as_a_stream(spark, tmp_path):
         for x in out:
             reply, version = want[order[x.seq]]
             assert reply is None or (x.reply, x.version) == (reply, version)
+
+
+@pytest.mark.parametrize("hot_ops", [None, 20])
+def test_many_lives_of_one_database(spark, hot_ops):
+    """Rows aren't joined with all lives of their database, which would be quadratic."""
+    raws = ["create_db d", "connect d", "save_key 1 x", "lookup 1", "delete_db d", "lookup 1", "connect d"]
+    lines = [(i % 3, i, raws[i % len(raws)]) for i in range(210)]
+    out = runner.answer(spark.createDataFrame(lines, LINES), hot_ops=hot_ops)
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if re.search(r"\bJoin ", x)]
+    assert not [x for x in joins if re.search(r" [<>]=? ", x)]
+    check(out.collect(), served(lines, "strict")[0])
