@@ -177,7 +177,7 @@ def stream_replay_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(spark.read.parquet(path).schema)
     # A stream reads folders: of a single file, its folder by the file's name.
     events = source.parquet(path) if fs.getFileStatus(at).isDirectory() else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = replayer.run_available(event_ops(events), shared_path(spark, "stream"), shared_path(spark, "stream-checkpoint"))
+    out = replayer.run_available(event_ops(events), shared_path(spark, "stream"), shared_path(spark, "stream-checkpoint"), HOT_OPS)
     last = out.where("reply <> 'late'").groupBy("key").agg(F.max_by(F.struct("present_after", "version", "doc"), "seq").alias("last"))
     return last.where("last.present_after").select("key", "last.version", "last.doc")
 

@@ -1,10 +1,13 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from keystrata.operators import commands, sessions
 from keystrata.plans import replay
-from keystrata.streaming.replayer import run_available
+from keystrata.streaming import replayer
+from keystrata.streaming.replayer import fold, run_available
 from tests_support import SCHEMA, folded, ops_of, random_log
 
 LOG = [
@@ -117,6 +120,26 @@ def test_stream_equals_batch_and_goes_on(spark, tmp_path):
     assert done.where("reply = 'late'").count() == 1
 
 
+@pytest.mark.parametrize("hot_ops", [None, 5])
+def test_stream_of_many_batches_equals_the_fold(spark, tmp_path, monkeypatch, hot_ops):
+    """Without a Python call per key; late, repeated and unknown commands, a null key."""
+    monkeypatch.setattr(replayer, "WHOLE", 2)
+    r = random.Random(4)
+    parts = [[(r.choice(["A", "B", None]), 10 * b + i - r.choice([0, 0, 0, 12]), r.choice(["save", "save_key", "update", "delete", "lookup", "other", None]), r.choice([None, "x", "late"])) for i in range(24)] for b in range(3 if hot_ops else 5)]
+    state, want = {}, []
+    for b, part in enumerate(parts):
+        states = replayer._states(spark, f"file://{tmp_path}/check/keys", b)
+        plan = replayer.replies(ops_of(spark, part), states)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan
+        for key, seq, op, doc in sorted(part, key=lambda x: (x[1], x[2] is not None, x[2] or "", x[3] is not None, x[3] or "")):
+            now, reply, applied = fold(key, state.get(key, (None, 0, 0, None)), op, seq, doc)
+            state[key] = now
+            want.append((key, seq, op, reply, applied, now[1], now[2] if now[3] is not None else None, now[3], now[3] is not None))
+        ops_of(spark, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        done = run_available(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/check", hot_ops)
+    assert sorted(map(tuple, done.collect()), key=str) == sorted(want, key=str)
+
+
 def test_catalogue_replays_by_one_shuffle(spark):
     """With a bound for hot keys that no key reaches, nothing of the spans is planned."""
     from keystrata.plans import catalog
